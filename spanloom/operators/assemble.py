@@ -78,9 +78,9 @@ def clock_rows(rows: DataFrame) -> DataFrame:
     i.e. max over earlier rows j of (stamp_j + leaf time between j and this row).
     """
     t0 = rows.groupBy("trace_id").agg(F.min_by("abs_us", F.when(F.col("abs_us").isNotNull(), F.col("line_no"))).alias("t0_us"))
-    r = rows.join(t0, "trace_id").withColumn("_w", F.when(F.col("kind") == "leaf", F.col("dur_us")))
+    r = cut(rows.join(t0, "trace_id").withColumn("_w", F.when(F.col("kind") == "leaf", F.col("dur_us"))))
     r = running(r, ["trace_id", "task_key"], "chunk", ["line_no"], [("_pre", "sum", "_w")])
-    r = r.withColumn("_lead", F.col("abs_us") - F.col("t0_us") - F.col("_pre"))
+    r = cut(r.withColumn("_lead", F.col("abs_us") - F.col("t0_us") - F.col("_pre")))
     r = running(r, ["trace_id", "task_key"], "chunk", ["line_no"], [("_shift", "max", "_lead")])
     return r.withColumn("at_us", F.when(F.col("t0_us").isNotNull(), F.round(F.col("_pre") + F.col("_shift"), 6))).drop(
         "_w", "_pre", "_lead", "_shift")
@@ -105,6 +105,7 @@ def match_calls(rows: DataFrame) -> DataFrame:
         "_any": F.struct(F.col("line_no"), F.col("kind"), F.col("me"), F.when(F.col("me"), payload).alias("v")),
         "_edge": F.when(~F.col("me"), F.struct("line_no", "kind", "indent")),
     })
+    x = cut(x)
     x = running(x, ["trace_id", "task_key", "level"], "chunk", ["line_no"], [
         ("before", "prev", "_any"), ("after", "next", "_any"), ("up", "prev", "_edge"), ("down", "next", "_edge")])
     x = x.where("me")
@@ -287,7 +288,8 @@ def _orphan_starts(s: DataFrame) -> DataFrame:
     if s.where(F.col("shape") == "orphan").isEmpty():
         return s.withColumn("base", F.col("at_us"))
     end = F.when(F.col("shape") == "orphan", F.col("at_us")).otherwise(F.col("at_us") + F.coalesce("dur_us", F.lit(0.0)))
-    s = running(s.withColumn("_end", end), ["trace_id", "_pp", "task_key"], "chunk", ["span_id"], [("_low", "maxb", "_end")])
+    s = running(cut(s.withColumn("_end", end)), ["trace_id", "_pp", "task_key"], "chunk", ["span_id"], [("_low", "maxb", "_end")])
+    s = cut(s)
     first = s.where(F.col("parent_id").isNotNull()).groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(
         F.min("at_us").alias("_first"), F.max("_end").alias("_kid_end"))
     up = s.select("trace_id", F.col("span_id").alias("parent_id"), F.col("shape").alias("_us"), F.col("at_us").alias("_ua"))
@@ -307,10 +309,11 @@ def _fit(s: DataFrame) -> DataFrame:
     up = s.where(F.col("shape").isin("call", "leaf") & F.col("dur_us").isNotNull()).select(
         "trace_id", F.col("span_id").alias("_pp"), F.col("base").alias("_s"), F.col("dur_us").alias("_d"))
     k = s.join(up, ["trace_id", "_pp"], "left")
-    k = k.withColumn("_w", F.coalesce("dur_us", F.lit(0.0)))
+    k = cut(k.withColumn("_w", F.coalesce("dur_us", F.lit(0.0))))
     k = running(k, ["trace_id", "_pp", "task_key"], "chunk", ["span_id"], [("_pre", "sum", "_w")])
-    k = k.withColumn("_lead", F.greatest("base", "_s") - F.col("_pre"))
+    k = cut(k.withColumn("_lead", F.greatest("base", "_s") - F.col("_pre")))
     k = running(k, ["trace_id", "_pp", "task_key"], "chunk", ["span_id"], [("_m", "max", "_lead")])
+    k = cut(k)
     whole = k.where(F.col("_s").isNotNull()).groupBy("trace_id", "_pp").agg(
         F.sum("_w").alias("_all"), F.max(F.col("_pre") + F.col("_m") + F.col("_w")).alias("_stop"))
     k = k.join(whole, ["trace_id", "_pp"], "left")
@@ -366,7 +369,7 @@ def assemble(tokens: DataFrame) -> Trace:
     calls = enclosing(match_calls(rows.where(F.col("kind").isin("open", "leaf", "close"))))
     inner = cut(_innermost(rows.where(F.col("kind").isin("fn", "event", "lost")), calls))
     flat = rows.where(F.col("kind") == "fn").join(inner, ["trace_id", "line_no"])
-    s = paths(lay_out(adopt_runs(make_spans(calls, flat))))
+    s = cut(paths(cut(lay_out(adopt_runs(make_spans(calls, flat))))))
 
     # calls open when events were lost on their CPU: those around the innermost one
     lost = rows.where(F.col("kind") == "lost").join(inner, ["trace_id", "line_no"])

@@ -47,8 +47,12 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str],
       sum   total of strictly earlier rows (0 when there are none)
       max   largest value of this row and earlier ones
       maxb  largest value of strictly earlier rows
+      total total of all rows of the key
       prev  last non-NULL value of strictly earlier rows
       next  first non-NULL value of strictly later rows
+
+    ``df`` is read twice (rows and chunk summaries): give a table or a narrow
+    projection of one; ``session.cut`` turns anything longer into a table.
     """
     inner = Window.partitionBy(*keys, chunk).orderBy(*order)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +74,9 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str],
             local[out] = F.max(c).over(upto if kind == "max" else before)
             summ.append(F.max(c).alias(s))
             carry.append(F.max(s).over(o_before).alias(f"_c{i}"))
+        elif kind == "total":
+            summ.append(F.sum(c).alias(s))
+            carry.append(F.sum(s).over(Window.partitionBy(*keys)).alias(f"_c{i}"))
         elif kind == "prev":
             local[out] = F.last(c, ignorenulls=True).over(before)
             summ.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(s))
@@ -88,6 +95,8 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str],
         c = F.col(f"_c{i}")
         if kind == "sum":
             done[out] = F.col(out) + F.coalesce(c, F.lit(0))
+        elif kind == "total":
+            done[out] = c
         elif kind in ("max", "maxb"):
             done[out] = F.greatest(F.col(out), c)
         else:
@@ -106,34 +115,20 @@ def order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, Col
     """Exact order statistics per key: one row per key with a column for every pick.
 
     ``picks`` maps an output name to a 0-based index expression over column ``n``
-    (the number of values of the key). Values are first counted in fine log
-    buckets (combinable, at most some thousand buckets per key); only buckets
-    that hold a wanted index are ordered, after equal values were counted.
+    (the number of values of the key). Equal values are counted first (combinable); the ordering then runs
+    inside fine log buckets, so a hot key is spread over many tasks.
     """
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    v = v.withColumn("_b", value_bucket(F.col("_v")))
-    per = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"))
-    ordered = Window.partitionBy(*keys).orderBy("_b")
-    per = per.select(
-        *keys, "_b", "_k",
-        F.coalesce(F.sum("_k").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_k").over(Window.partitionBy(*keys)).alias("n"))
-    wanted = per.select(
-        *keys, "_b", "n",
-        F.filter(
-            F.array(*[F.struct(F.lit(name).alias("name"), (idx.cast("bigint") - F.col("_before")).alias("off"),
-                               F.col("_k").alias("k")) for name, idx in picks.items()]),
-            lambda p: (p["off"] >= 0) & (p["off"] < p["k"])).alias("_p")).where(F.size("_p") > 0)
-    vals = (v.join(wanted.select(*keys, "_b"), [*keys, "_b"], "left_semi")
-            .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_k")))
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v")
-    vals = vals.withColumn("_to", F.sum("_k").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = vals.join(wanted, [*keys, "_b"])
-    in_row = lambda name: F.exists("_p", lambda p: (p["name"] == name) & (p["off"] < F.col("_to"))
-                                   & (p["off"] >= F.col("_to") - F.col("_k")))
-    return hit.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(in_row(name), F.col("_v"))).alias(name) for name in picks])
+    v = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+         .agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", value_bucket(F.col("_v"))))
+    v = running(v, keys, "_b", ["_v"], [("_before", "sum", "_k"), ("n", "total", "_k")])
+    at = {name: idx.cast("bigint") for name, idx in picks.items()}
+    here = lambda idx: (idx >= F.col("_before")) & (idx < F.col("_before") + F.col("_k"))
+    hit = v.where(F.lit(False) if not at else _any([here(i) for i in at.values()]))
+    return hit.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(here(i), F.col("_v"))).alias(name) for name, i in at.items()])
+
+
+def _any(conds: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conds)
 
 
 def median_picks() -> dict[str, Column]:
@@ -155,9 +150,7 @@ def rank_below(df: DataFrame, keys: list[str], value: str, out: str) -> DataFram
     """
     per = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
            .agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", value_bucket(F.col(value))))
-    ranked = running(per, keys, "_b", [value], [(out, "sum", "_k")])
-    total = per.groupBy(*keys).agg(F.sum("_k").alias("n"))
-    return ranked.drop("_k", "_b").join(total, keys)
+    return running(per, keys, "_b", [value], [(out, "sum", "_k"), ("n", "total", "_k")]).drop("_k", "_b")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

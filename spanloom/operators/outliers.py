@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut
 from .ordered import median_picks, order_stats
 from .stats import FUNC
 from .times import has, timed
@@ -36,7 +37,7 @@ def candidates(st: DataFrame, fs: DataFrame, meta: DataFrame, rare_only: bool =
     m = meta.select("trace_id", min_excess(F.col("duration_us")).alias("min_excess"))
     t = st.where(timed()).select("trace_id", "func", "span_id", "dur_us", "flags", "path")
     j = t.join(f, FUNC)
-    far = (j.where(~has(S.GAP) & (F.col("dur_us") >= S.RATIO_MIN * F.col("p50"))).join(m, "trace_id")
+    far = cut(j.where(~has(S.GAP) & (F.col("dur_us") >= S.RATIO_MIN * F.col("p50"))).join(m, "trace_id")
            .where(F.col("dur_us") - F.col("p50") >= F.greatest("min_excess", "p50")))
     hot = far.select(*FUNC).distinct()
     dev = (j.join(hot, FUNC, "left_semi")
@@ -45,6 +46,7 @@ def candidates(st: DataFrame, fs: DataFrame, meta: DataFrame, rare_only: bool =
     z = (F.log2("dur_us") - F.col("med_log")) / F.greatest(S.MAD_SCALE * F.col("mad"), F.lit(S.SIGMA_FLOOR))
     c = far.join(mad, FUNC).withColumn("z", z).where(F.col("z") >= S.Z_MIN)
     c = c.select("trace_id", "func", "span_id", "dur_us", "p50", "timed", "z", "path")
+    c = cut(c)
     return rarity(c) if rare_only else c
 
 
@@ -66,6 +68,6 @@ def outermost(c: DataFrame) -> DataFrame:
 
 def outliers(st: DataFrame, fs: DataFrame, meta: DataFrame) -> DataFrame:
     """Root-cause outliers with typical duration, excess and ratio."""
-    o = outermost(candidates(st, fs, meta))
+    o = outermost(cut(candidates(st, fs, meta)))
     return o.select("trace_id", "span_id", "func", "dur_us", F.col("p50").alias("typical_us"), "timed",
                     (F.col("dur_us") - F.col("p50")).alias("excess_us"), (F.col("dur_us") / F.col("p50")).alias("ratio"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ordered import median_picks, order_stats, running
 
 MIN_RUN = 3
@@ -29,7 +30,7 @@ def same_func_steps(st: DataFrame) -> DataFrame:
     """Previous and next call of the same function in time."""
     from .ordered import with_value_chunk
 
-    s = with_value_chunk(st.select("trace_id", "func", "span_id", "start_us"), ["trace_id"], "start_us")
+    s = cut(with_value_chunk(st.select("trace_id", "func", "span_id", "start_us"), ["trace_id"], "start_us"))
     return running(s, ["trace_id", "func"], "chunk", ["start_us", "span_id"],
                    [("prev_id", "prev", "span_id"), ("next_id", "next", "span_id")]).drop("chunk")
 
@@ -37,15 +38,14 @@ def same_func_steps(st: DataFrame) -> DataFrame:
 def runs(sib: DataFrame) -> DataFrame:
     """Siblings with the run of equal functions they belong to (run_id) and their position (idx) in the list."""
     s = sib.withColumn("_one", F.lit(1).cast("bigint"))
-    s = running(s, LIST, "chunk", ["ord"], [("_pf", "prev", "func"), ("idx", "sum", "_one")])
-    s = s.withColumn("_new", F.when(F.col("_pf").eqNullSafe(F.col("func")), 0).otherwise(1))
+    s = running(s, LIST, "chunk", ["ord"], [("_pf", "prev", "func"), ("idx", "sum", "_one"), ("list_len", "total", "_one")])
+    s = cut(s.withColumn("_new", F.when(F.col("_pf").eqNullSafe(F.col("func")), 0).otherwise(1)))
     s = running(s, LIST, "chunk", ["ord"], [("_r", "sum", "_new")])
     return s.withColumn("run_id", F.col("_r") + F.col("_new")).drop("_one", "_pf", "_new", "_r")
 
 
-def run_folds(sib: DataFrame) -> DataFrame:
-    """Folds of three or more consecutive calls to one function, with total, upper median and max."""
-    r = runs(sib)
+def run_folds(r: DataFrame) -> DataFrame:
+    """From ``runs``: folds of three or more consecutive calls to one function, with total, upper median and max."""
     key = [*LIST, "run_id"]
     g = r.groupBy(*key).agg(
         F.first("func").alias("func"), F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("dur_us"), F.lit(0.0)).alias("total_us"),
@@ -56,22 +56,20 @@ def run_folds(sib: DataFrame) -> DataFrame:
     return g.join(med, key, "left")
 
 
-def loop_folds(sib: DataFrame, exact_list: int = EXACT_LIST) -> DataFrame:
-    """Members of folded loops: (list, fold_id, unit_len, reps, pos, rep, span_id, func, dur_us).
+def loop_folds(r: DataFrame, exact_list: int = EXACT_LIST) -> DataFrame:
+    """From ``runs``: members of folded loops (list, fold_id, unit_len, reps, pos, rep, span_id, func, dur_us).
 
     A loop is a unit of 2 to 8 calls repeated at least three times; runs of one function
     are not loops. Lists up to ``exact_list`` calls are read as a sequence and may step
     over one or two stray calls between repetitions. Longer lists are folded by windows
     in chunks: strict repetition only, so strays end a loop there.
     """
-    n = sib.groupBy(*LIST).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2 * MIN_RUN)
-    s = sib.join(n, LIST)
-    # position in list comes from windows, so even a very long list is never one group
-    s = runs(s)
-    small = s.where(F.col("_n") <= exact_list).groupBy(*LIST).applyInPandas(
+    s = r.where(F.col("list_len") >= 2 * MIN_RUN)
+    small = s.where(F.col("list_len") <= exact_list).groupBy(*LIST).applyInPandas(
         _fold_list, "trace_id string, list_id bigint, task_key string, fold_id bigint, unit_len int, reps int, pos int, rep int, "
                     "span_id bigint, func string, dur_us double, start_us double, ord bigint")
-    return small.unionByName(_strict_loops(s.where(F.col("_n") > exact_list)))
+    long = s.where(F.col("list_len") > exact_list)
+    return small if long.isEmpty() else small.unionByName(_strict_loops(long))
 
 
 def _fold_list(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,20 +114,19 @@ def _fold_list(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _strict_loops(s: DataFrame) -> DataFrame:
     """Loops of long lists by windows: calls equal to the call one unit earlier form islands."""
-    out = None
-    x = s.withColumn("pc", F.shiftright("idx", 16))
-    for unit in UNIT_LENGTHS:
-        back = x.select(*LIST, (F.col("idx") + unit).alias("idx"), F.col("func").alias("_bf"))
-        e = x.join(back, [*LIST, "idx"], "left").withColumn("_brk", F.when(F.col("func").eqNullSafe(F.col("_bf")), 0).otherwise(1))
-        e = running(e, LIST, "pc", ["idx"], [("_isl", "sum", "_brk")]).where(F.col("_brk") == 0)
-        g = e.groupBy(*LIST, "_isl").agg((F.min("idx") - unit).alias("fold_id"), F.count(F.lit(1)).alias("_k"))
-        g = g.where(F.col("_k") >= (MIN_RUN - 1) * unit).select(
-            *LIST, "fold_id", F.lit(unit).alias("unit_len"), (F.floor(F.col("_k") / unit) + 1).cast("int").alias("reps"))
-        out = g if out is None else out.unionByName(g)
+    x = cut(s.withColumn("pc", F.shiftright("idx", 16)))
+    units = x.withColumn("unit_len", F.explode(F.array(*[F.lit(u) for u in UNIT_LENGTHS])))
+    back = x.select(*LIST, F.explode(F.array(*[F.struct(F.lit(u).alias("unit_len"), (F.col("idx") + u).alias("idx"), F.col("func").alias("_bf"))
+                                               for u in UNIT_LENGTHS])).alias("b")).select(*LIST, "b.*")
+    e = cut(units.join(back, [*LIST, "unit_len", "idx"], "left").withColumn("_brk", F.when(F.col("func").eqNullSafe(F.col("_bf")), 0).otherwise(1)))
+    e = running(e, [*LIST, "unit_len"], "pc", ["idx"], [("_isl", "sum", "_brk")]).where(F.col("_brk") == 0)
+    g = e.groupBy(*LIST, "unit_len", "_isl").agg((F.min("idx") - F.max("unit_len")).alias("fold_id"), F.count(F.lit(1)).alias("_k"))
+    out = g.where(F.col("_k") >= (MIN_RUN - 1) * F.col("unit_len")).select(
+        *LIST, "fold_id", "unit_len", (F.floor(F.col("_k") / F.col("unit_len")) + 1).cast("int").alias("reps"))
     # of overlapping islands keep the one with most members: decided per first position
     w = Window.partitionBy(*LIST, "fold_id").orderBy(F.desc(F.col("unit_len") * F.col("reps")), "unit_len")
     best = out.withColumn("_w", F.row_number().over(w)).where(F.col("_w") == 1).drop("_w")
-    best = running(best.withColumns({"pc": F.shiftright("fold_id", 16), "_end": F.col("fold_id") + F.col("unit_len") * F.col("reps")}),
+    best = running(cut(best.withColumns({"pc": F.shiftright("fold_id", 16), "_end": F.col("fold_id") + F.col("unit_len") * F.col("reps")})),
                    LIST, "pc", ["fold_id"], [("_before", "maxb", "_end")])
     best = best.where(F.coalesce("_before", F.lit(-1)) <= F.col("fold_id"))
     m = best.select(*LIST, "fold_id", "unit_len", "reps", F.explode(F.sequence(F.lit(0), F.col("unit_len") * F.col("reps") - 1)).alias("_o"))
@@ -171,11 +168,11 @@ def story(st: DataFrame, events: DataFrame | None = None, gaps: DataFrame | None
 
     Interrupts are taken out before folding and shown as single calls at their time.
     """
-    sib = siblings(st)
-    g = run_folds(sib)
-    lm = loop_folds(sib)
+    r = cut(runs(siblings(st)))
+    g = cut(run_folds(r))
+    lm = cut(loop_folds(r))
     lp = loops(lm)
-    in_run = runs(sib).join(g.select(*LIST, "run_id"), [*LIST, "run_id"], "left_semi").select("trace_id", "span_id")
+    in_run = r.join(g.select(*LIST, "run_id"), [*LIST, "run_id"], "left_semi").select("trace_id", "span_id")
     folded = in_run.unionByName(lm.select("trace_id", "span_id"))
     loose = st.withColumn("list_id", F.coalesce("parent_id", F.lit(-1))).join(folded, ["trace_id", "span_id"], "left_anti")
     nul = lambda t: F.lit(None).cast(t)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut
 from .ordered import running, with_value_chunk
 
 # --- fixed value: interrupt entries recognised by name in the analysis --------
@@ -55,8 +56,7 @@ def switch_points(switches: DataFrame) -> DataFrame:
 
 def off_intervals(switches: DataFrame) -> DataFrame:
     """Stretches a task was switched out: [off_us, on_us), on_us NULL when it never came back."""
-    p = with_value_chunk(switch_points(switches), ["trace_id"], "ts_us")
-    p = p.withColumn("_v", F.struct("side", "ts_us"))
+    p = cut(with_value_chunk(switch_points(switches), ["trace_id"], "ts_us").withColumn("_v", F.struct("side", "ts_us")))
     p = running(p, ["trace_id", "task_key"], "chunk", ["ts_us", "seq"], [("_n", "next", "_v")])
     return p.where((F.col("side") == "out") & (F.col("_n").isNull() | (F.col("_n.side") == "in"))).select(
         "trace_id", "task_key", F.col("ts_us").alias("off_us"), F.col("_n.ts_us").alias("on_us"))
@@ -81,7 +81,7 @@ def off_overlap(spans: DataFrame, intervals: DataFrame) -> DataFrame:
                  F.lit(-1).alias("rank")))).alias("p")).select(
         "trace_id", "task_key", "p.t", "p.len", "p.since", "p.rank").where(F.col("t").isNotNull())
     u = pts.unionByName(q.withColumn("rank", F.lit(1)), allowMissingColumns=True)
-    u = with_value_chunk(u, ["trace_id"], "t")
+    u = cut(with_value_chunk(u, ["trace_id"], "t"))
     u = running(u, ["trace_id", "task_key"], "chunk", ["t", "rank"], [("_done", "sum", "len"), ("_since", "prev", "since")])
     f = F.col("_done") + F.when(F.col("_since") >= 0, F.col("t") - F.col("_since")).otherwise(0.0)
     r = u.where(F.col("span_id").isNotNull()).groupBy("trace_id", "span_id").agg(
@@ -94,17 +94,17 @@ def span_times(spans: DataFrame, switches: DataFrame | None = None, meta: DataFr
 
     Off-CPU time needs real timestamps; traces whose clock is reconstructed get 0.
     """
-    s = irq_context(spans)
+    s = cut(irq_context(spans))
     s = s.join(irq_time(s), ["trace_id", "span_id"], "left")
     if switches is not None:
         sw = switches
         if meta is not None:
             sw = sw.join(meta.where(F.col("clock") == "absolute").select("trace_id"), "trace_id", "left_semi")
-        s = s.join(off_overlap(spans, off_intervals(sw)), ["trace_id", "span_id"], "left")
+        s = s.join(off_overlap(spans, cut(off_intervals(sw))), ["trace_id", "span_id"], "left")
         off = F.least(F.coalesce("off_us", F.lit(0.0)), F.coalesce("dur_us", F.lit(0.0)))
     else:
         off = F.lit(0.0)
-    s = s.withColumns({"off_us": off, "irq_us": F.when(F.col("irq_ctx"), 0.0).otherwise(F.coalesce("irq_us", F.lit(0.0)))})
+    s = cut(s.withColumns({"off_us": off, "irq_us": F.when(F.col("irq_ctx"), 0.0).otherwise(F.coalesce("irq_us", F.lit(0.0)))}))
     kids = s.where(F.col("parent_id").isNotNull()).groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(
         F.sum("dur_us").alias("_cd"), F.sum(F.when(~F.col("irq_ctx"), F.col("off_us"))).alias("_co"),
         F.sum(F.when(~F.col("irq_root"), F.col("off_us"))).alias("_cr"), F.count(F.lit(1)).alias("n_children"))
@@ -167,7 +167,7 @@ def off_where(st: DataFrame, switches: DataFrame, targets: DataFrame) -> DataFra
         F.struct("ts_us", F.col("next_key").alias("ran")).alias("sw"), F.lit(1).alias("rank"))
     pts = root.select("trace_id", "task_key", F.col("start_us").alias("t"), F.col("root_id").alias("seq"),
                       F.lit(0).alias("rank"), "root_id", (F.col("start_us") + F.col("dur_us")).alias("_end"))
-    u = with_value_chunk(outs.unionByName(pts, allowMissingColumns=True), ["trace_id"], "t")
+    u = cut(with_value_chunk(outs.unionByName(pts, allowMissingColumns=True), ["trace_id"], "t"))
     u = running(u, ["trace_id", "task_key"], "chunk", ["t", "rank", "seq"], [("_n", "next", "sw")])
     ran = u.where(F.col("root_id").isNotNull()).select(
         "trace_id", "root_id", F.when((F.col("_end").isNull()) | (F.col("_n.ts_us") <= F.col("_end")), F.col("_n.ran")).alias("ran_task"))

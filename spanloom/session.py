@@ -17,7 +17,7 @@ DEFAULTS = {
 }
 
 
-def session(app: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(app: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or fetch) a session with the defaults above."""
     b = SparkSession.builder.appName(app)
     if master:

@@ -18,16 +18,32 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.ordered import running
+from ..session import cut
 
 ORDER_BASE = 10 ** 12
 ITEM_STEP = 2 * 10 ** 12
 
 
+_STAGES: dict[tuple[str, str, str], object] = {}
+
+
+def stage(spark: SparkSession, sf: str, name: str, make):
+    """A stage table or result, made once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGES:
+        _STAGES[key] = make()
+    return _STAGES[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "_items", lambda: cut(_make_items(spark, sf_dir)))
+
+
+def _make_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_linestatus",
@@ -43,6 +59,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "_orders", lambda: cut(_make_orders(spark, sf_dir)))
+
+
+def _make_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _items(spark, sf_dir).groupBy("o_orderkey").agg(F.sum("dur_us").alias("s"), F.count("*").alias("n_items"))
     o = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
          .join(per, "o_orderkey", "left")
@@ -52,7 +72,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
          .withColumn("n_lines", F.when(F.col("n_items") > 0, F.col("n_items") + 2).otherwise(1))
          .withColumn("one", F.lit(1).cast("bigint"))
          .withColumn("chunk", F.shiftright("o_orderkey", 16)).drop("s"))
-    o = running(o, ["o_custkey"], "chunk", ["o_orderkey"],
+    o = running(cut(o), ["o_custkey"], "chunk", ["o_orderkey"],
                 [("rel_us", "sum", "dur_us"), ("rel_line", "sum", "n_lines"), ("before", "sum", "one")])
     return o.select("o_orderkey", "o_custkey", "dur_us", "rel_us", "rel_line", "n_items", "n_lines",
                     (F.col("before") + 1).alias("ord"),
@@ -60,6 +80,10 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "_customers", lambda: cut(_make_customers(spark, sf_dir)))
+
+
+def _make_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _orders(spark, sf_dir).groupBy("o_custkey").agg(
         F.sum("dur_us").alias("s"), F.sum("n_lines").alias("l"), F.count("*").alias("n_orders"))
     c = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -68,7 +92,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
          .withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
          .withColumn("n_lines", F.when(F.col("n_orders") > 0, F.col("l") + 2).otherwise(1))
          .withColumn("chunk", F.shiftright("c_custkey", 16)))
-    c = running(c, ["c_nationkey"], "chunk", ["c_custkey"],
+    c = running(cut(c), ["c_nationkey"], "chunk", ["c_custkey"],
                 [("start_us", "sum", "dur_us"), ("line_no", "sum", "n_lines")])
     return c.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("func"), "dur_us", "start_us",
                     "line_no", "n_lines", "n_orders")

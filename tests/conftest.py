@@ -5,13 +5,15 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from spanloom.session import session  # noqa: E402
+from spanloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+    s = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2",
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     s.sparkContext.setLogLevel("ERROR")
