@@ -104,8 +104,8 @@ ORACLES: dict[str, str] = {
     "parse_quarantine": "SELECT 'events' AS trace_id, event_id AS line_no, 'damaged ' || event_id || ' line' AS text FROM events WHERE event_id % 50 = 3",
     "token_kinds": _tree("""SELECT trace_id, kind, count(*) AS n FROM (SELECT trace_id, CASE WHEN flags % 2 = 1 THEN 'leaf' ELSE 'open' END AS kind FROM tree
         UNION ALL SELECT trace_id, 'close' FROM tree WHERE flags % 2 = 0) GROUP BY ALL"""),
-    "line_numbering": TEXT + f""", l AS (SELECT event_id AS at, strlen({LINE}) + 1 AS o FROM e)
-        SELECT at, row_number() OVER (ORDER BY at) - 1 AS line_no, sum(o) OVER (ORDER BY at) - o AS byte_start, sum(o) OVER (ORDER BY at) AS byte_end FROM l""",
+    "line_numbering": TEXT + f""", l AS (SELECT event_id, strlen({LINE}) + 1 AS o FROM e)
+        SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS line_no, sum(o) OVER (ORDER BY event_id) - o AS byte_start, sum(o) OVER (ORDER BY event_id) AS byte_end FROM l""",
     "task_attribution": """SELECT event_id, CASE WHEN (SELECT count(DISTINCT user_id) FROM events k WHERE k.user_id % 4 = e.user_id % 4) = 1 THEN '?/' || (user_id % 4)
         ELSE (user_id + 1)::VARCHAR END AS task_key, event_type AS func FROM events e""",
     "tasks": "SELECT 'n' || c_nationkey AS trace_id, (c_custkey + 1)::VARCHAR AS task_key, c_custkey + 1 AS pid, 'cust' AS comm FROM customer",
@@ -187,6 +187,18 @@ ORACLES: dict[str, str] = {
         big AS (SELECT trace_id, root_id, max(CASE WHEN kind = 'self' THEN part END) AS sp FROM q GROUP BY ALL)
         SELECT o.trace_id, o.span_id, o.func, 'self' AS cause, o.timed - 1 AS peers, round(o.p50, 4) AS typical_us, true AS slow FROM outl o JOIN big ON big.trace_id = o.trace_id AND root_id = span_id
         WHERE o.depth = 1 UNION ALL SELECT o.trace_id, o.span_id, o.func, NULL, o.timed - 1, round(o.p50, 4), true FROM outl o WHERE false""",
+    "contributors": OUT + REL + """, own AS (SELECT trace_id, root_id, path, calls, excess, CASE WHEN path = '' THEN 'self' WHEN calls >= 1.5 * mc + 1 THEN 'more-calls' ELSE 'slower' END AS kind, self_us - ms AS part
+        FROM ap WHERE self_us > ms AND (pres >= 0.05 OR path = '')),
+        fresh AS (SELECT trace_id, root_id, split_part(path, '/', 1) AS p1, min(pres) FILTER (WHERE path = split_part(path, '/', 1)) AS top_pres FROM ap WHERE path <> '' GROUP BY ALL),
+        tops AS (SELECT a.*, CASE WHEN f.top_pres < 0.05 THEN f.p1 ELSE a.path END AS top FROM ap a JOIN fresh f ON f.trace_id = a.trace_id AND f.root_id = a.root_id AND f.p1 = split_part(a.path, '/', 1) WHERE a.pres < 0.05 AND a.path <> ''),
+        newp AS (SELECT trace_id, root_id, top AS path, max(CASE WHEN path = top THEN calls END) AS calls, max(excess) AS excess, 'new-path' AS kind, sum(self_us - ms) AS part FROM tops GROUP BY trace_id, root_id, top),
+        irqm AS (SELECT trace_id, func AS root_func, sum(irq_us) AS ti FROM st GROUP BY ALL),
+        irqp AS (SELECT ex.trace_id, ex.root_id, first(q.func ORDER BY q.dur_us DESC, q.parent_id, q.ord) AS path, count(*) AS calls, excess, 'irq' AS kind, r.irq_us - (ti - r.irq_us) / peers AS part
+          FROM ex JOIN irqm USING (trace_id, root_func) JOIN st r ON r.trace_id = ex.trace_id AND r.span_id = ex.root_id
+          JOIN tree q ON q.trace_id = ex.trace_id AND q.flags >= 8 AND ex.root_id IN (q.p0, q.p1) GROUP BY ex.trace_id, ex.root_id, excess, r.irq_us, ti, peers),
+        c AS (SELECT trace_id, root_id, path, calls, excess, kind, part FROM own UNION ALL SELECT trace_id, root_id, path, calls, excess, kind, part FROM newp UNION ALL SELECT * FROM irqp),
+        k AS (SELECT *, row_number() OVER (PARTITION BY trace_id, root_id ORDER BY part DESC) AS r FROM c WHERE part > 0.05 * excess)
+        SELECT trace_id, root_id AS span_id, kind, path, round(part, 3) AS part_us, calls FROM k WHERE r = 1""",
     "same_func_steps": FLAT + """ SELECT span_id, lag(span_id) OVER w AS prev_id, lead(span_id) OVER w AS next_id FROM flat WINDOW w AS (PARTITION BY func ORDER BY start_us, span_id)""",
     "run_folds": RUNS + """ SELECT task_key, func, min(span_id) AS first_ord, max(span_id) AS last_ord, count(*) AS calls, round(sum(dur_us), 4) AS total_us,
         max(CASE WHEN i = n // 2 THEN dur_us END) AS median_us, max(dur_us) AS max_us

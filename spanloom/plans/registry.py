@@ -22,7 +22,7 @@ from ..operators.ordered import running
 from ..session import cut
 from ..sources import adapters as A
 from ..sources.adapters import stage
-from ..sources.tokens import event_fields, quarantine, tokenize
+from ..sources.tokens import event_fields, quarantine, token_table, tokenize
 from . import findings as fnd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,7 +143,7 @@ def parse_graph_roundtrip(s, d):
 
 @query
 def parse_bracket_roundtrip(s, d):
-    t = tokenize(A.bracket_text(s, d)).where("kind = 'fn'")
+    t = token_table(A.bracket_text(s, d)).where("kind = 'fn'")
     t0 = t.groupBy("trace_id").agg(F.min_by("abs_us", "line_no").alias("t0"))
     return t.join(t0, "trace_id").select("line_no", "func", "caller", F.round(F.col("abs_us") - F.col("t0"), 0).alias("start_us"), "cpu", "comm", "pid")
 
@@ -169,20 +169,20 @@ def _damaged(s, d):
 
 @query
 def parse_quarantine(s, d):
-    return quarantine(tokenize(_damaged(s, d))).select("trace_id", "line_no", F.col("text"))
+    return quarantine(token_table(_damaged(s, d))).select("trace_id", "line_no", F.col("text"))
 
 
 @query
 def token_kinds(s, d):
-    return tokenize(text(s, d)).groupBy("trace_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return token_table(text(s, d)).groupBy("trace_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def line_numbering(s, d):
-    x = A.bracket_text(s, d).select("trace_id", F.col("line_no").alias("at"), (F.octet_length("value") + 1).cast("bigint").alias("octets"))
-    x = x.withColumns({"chunk": F.shiftright("at", 12), "one": F.lit(1).cast("bigint")})
-    x = running(x, ["trace_id"], "chunk", ["at"], [("line_no", "sum", "one"), ("byte_start", "sum", "octets")])
-    return x.select("at", "line_no", "byte_start", (F.col("byte_start") + F.col("octets")).alias("byte_end"))
+    x = A.bracket_text(s, d).select("trace_id", F.col("line_no").alias("event_id"), (F.octet_length("value") + 1).cast("bigint").alias("octets"))
+    x = x.withColumns({"chunk": F.shiftright("event_id", 12), "one": F.lit(1).cast("bigint")})
+    x = running(x, ["trace_id"], "chunk", ["event_id"], [("line_no", "sum", "one"), ("byte_start", "sum", "octets")])
+    return x.select("event_id", "line_no", "byte_start", (F.col("byte_start") + F.col("octets")).alias("byte_end"))
 
 
 @query
@@ -193,7 +193,7 @@ def task_attribution(s, d):
     call = F.struct((F.col("e") * 2 + 1).alias("line_no"), F.format_string(" %d) %10.3f us   |  %s();", "cpu", "dur_us", "func").alias("value"))
     turn = F.struct((F.col("e") * 2).alias("line_no"), F.format_string(" %d)  user-%d   =>  user-%d", "cpu", "prev", "pid").alias("value"))
     lines = f.select("trace_id", F.explode(F.when(F.col("prev") != F.col("pid"), F.array(turn, call)).otherwise(F.array(call))).alias("l"))
-    t = attribute(tokenize(lines.select("trace_id", "l.line_no", "l.value")))
+    t = attribute(token_table(lines.select("trace_id", "l.line_no", "l.value")))
     return t.where("kind = 'leaf'").select(F.floor((F.col("line_no") - 1) / 2).cast("bigint").alias("event_id"), "task_key", "func")
 
 
@@ -610,7 +610,7 @@ def call_details(s, d):
     f = flat(s, d)
     lines = f.select("trace_id", F.col("span_id").alias("line_no"), F.format_string(" %d)  1.0 us |  %s(id=%d, pos=(%d, 2)); /* <-top+0x%x ret=%d */", "cpu", "func", "span_id", "cpu", "cpu",
                                                                               -(F.col("span_id") % 3)).alias("value"))
-    t = tokenize(lines).select("trace_id", "line_no", "ret_text")
+    t = token_table(lines).select("trace_id", "line_no", "ret_text")
     sp = f.select("trace_id", "span_id", "func", F.col("span_id").alias("line_no"), F.lit(None).cast("bigint").alias("close_line"), F.lit(S.HAS_ARGS | S.HAS_RET).alias("flags"))
     c = search.call_details(sp.join(t, ["trace_id", "line_no"]), lines)
     return c.select("span_id", F.array_join(F.transform("args", lambda a: F.concat(a["name"], F.lit("="), a["value"])), ";").alias("args"), "ret_text", "errno_name", "ret_addr")

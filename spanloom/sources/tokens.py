@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _SEP = "\ue000"  # private-use separator for rewritten matches
 
 # --- fixed values: line shapes (Java regular expressions) -------------------
@@ -160,6 +162,12 @@ def tokenize(lines: DataFrame) -> DataFrame:
         (F.col("_fg") | F.coalesce(F.col("_ev") == "function", F.lit(False))).alias("trace_cmd"), "text")
 
 
+def token_table(lines: DataFrame) -> DataFrame:
+    """``tokenize`` written as a table. Filter this, not the projection: a filter pushed
+    down through the projection would repeat its patterns."""
+    return cut(tokenize(lines))
+
+
 def parse_ret(c: Column) -> Column:
     """Return value text as a number: hexadecimal, signed decimal, else NULL; exact up to 64 bits."""
     return (F.when(c.rlike("(?i)^0x[0-9a-f]+$"), F.conv(F.substring(c, 3, 64), 16, 10))

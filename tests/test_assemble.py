@@ -130,12 +130,12 @@ def test_trace_cmd(trace):
 
 
 def test_garbage_never_fails(trace, lines):
-    from spanloom.sources.tokens import tokenize, unparsed_samples
+    from spanloom.sources.tokens import token_table, unparsed_samples
 
     text = "hello world\n\x00\x01zzz\n 0) | |||\n}}}}\n12.3 | x"
     tr = trace(text)
     n = tr.meta.first()["counts"]["unparsed"]
-    assert n > 0 and unparsed_samples(tokenize(lines(text))).count() == n
+    assert n > 0 and unparsed_samples(token_table(lines(text))).count() == n
 
 
 def test_run_released_by_short_call(trace):
