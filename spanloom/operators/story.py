@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,51 +63,60 @@ def loop_folds(r: DataFrame, exact_list: int = EXACT_LIST) -> DataFrame:
     in chunks: strict repetition only, so strays end a loop there.
     """
     s = r.where(F.col("list_len") >= 2 * MIN_RUN)
-    small = s.where(F.col("list_len") <= exact_list).groupBy(*LIST).applyInPandas(
+    # a unit repeated three times needs a function that occurs three times
+    often = s.groupBy(*LIST, "func").count().where(F.col("count") >= MIN_RUN).select(*LIST).distinct()
+    small = s.where(F.col("list_len") <= exact_list).join(often, LIST, "left_semi").groupBy(*LIST).applyInPandas(
         _fold_list, "trace_id string, list_id bigint, task_key string, fold_id bigint, unit_len int, reps int, pos int, rep int, "
                     "span_id bigint, func string, dur_us double, start_us double, ord bigint")
     long = s.where(F.col("list_len") > exact_list)
     return small if long.isEmpty() else small.unionByName(_strict_loops(long))
 
 
+_FOLD_COLUMNS = ["trace_id", "list_id", "task_key", "fold_id", "unit_len", "reps", "pos", "rep", "span_id", "func", "dur_us", "start_us", "ord"]
+_NO_FOLD = pd.DataFrame({c: pd.Series(dtype=object) for c in _FOLD_COLUMNS})
+
+
 def _fold_list(pdf: pd.DataFrame) -> pd.DataFrame:
     """Loop members of one sibling list (bounded length)."""
-    pdf = pdf.sort_values("ord", kind="stable")
-    codes = pd.factorize(pdf["func"])[0]
-    n, rows, p = len(codes), [], 0
-    run_end = pd.Series(pdf["run_id"].to_numpy())
-    run_len = run_end.groupby(run_end).transform("size").to_numpy()
-    first = run_end.groupby(run_end).cumcount().to_numpy()
-    same = lambda a, b, k: b + k <= n and (codes[a:a + k] == codes[b:b + k]).all()
+    names, order = pdf["func"].tolist(), pdf["ord"].to_numpy().argsort(kind="stable").tolist()
+    names = [names[k] for k in order]
+    n, rows, p = len(names), [], 0
     while p < n:
-        left_in_run = int(run_len[p] - first[p])
-        if left_in_run >= MIN_RUN:
-            p += left_in_run
+        q = p
+        while q < n and names[q] == names[p]:
+            q += 1
+        if q - p >= MIN_RUN:
+            p = q
             continue
-        best = None
-        for unit in UNIT_LENGTHS:
-            if p + unit * MIN_RUN > n:
-                break
-            starts, q = [p], p + unit
-            while True:
-                step = next((k for k in (0, 1, 2) if same(p, q + k, unit)), None)
-                if step is None:
-                    break
-                starts.append(q + step)
-                q += step + unit
-            if len(starts) >= MIN_RUN and (best is None or len(starts) * unit > len(best[1]) * best[0]):
-                best = (unit, starts, q)
+        best = _best_loop(names, p)
         if best is None:
             p += 1
             continue
-        unit, starts, q = best
-        rows += [(p, unit, len(starts), k, r, a + k) for r, a in enumerate(starts) for k in range(unit)]
-        p = q
-    cols = ["trace_id", "list_id", "task_key", "fold_id", "unit_len", "reps", "pos", "rep", "span_id", "func", "dur_us", "start_us", "ord"]
+        unit, starts, end = best
+        rows += [(p, unit, len(starts), k, r, order[a + k]) for r, a in enumerate(starts) for k in range(unit)]
+        p = end
     if not rows:
-        return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
+        return _NO_FOLD
     f = pd.DataFrame(rows, columns=["fold_id", "unit_len", "reps", "pos", "rep", "at"])
-    return pd.concat([pdf.iloc[f["at"]][["trace_id", "list_id", "task_key", "span_id", "func", "dur_us", "start_us", "ord"]].reset_index(drop=True), f], axis=1)[cols]
+    return pd.concat([pdf.iloc[f["at"]].reset_index(drop=True), f], axis=1)[_FOLD_COLUMNS]
+
+
+def _best_loop(names: list[str], p: int) -> tuple[int, list[int], int] | None:
+    """(unit length, start of every repetition, end) of the loop at ``p`` with most members."""
+    best = None
+    for unit in UNIT_LENGTHS:
+        if p + unit * MIN_RUN > len(names):
+            break
+        body, starts, q = names[p:p + unit], [p], p + unit
+        while True:
+            step = next((k for k in (0, 1, 2) if names[q + k:q + k + unit] == body), None)
+            if step is None:
+                break
+            starts.append(q + step)
+            q += step + unit
+        if len(starts) >= MIN_RUN and (best is None or len(starts) * unit > len(best[1]) * best[0]):
+            best = (unit, starts, q)
+    return best
 
 
 def _strict_loops(s: DataFrame) -> DataFrame:

@@ -88,6 +88,17 @@ ex AS (SELECT o.trace_id, o.span_id AS root_id, o.func AS root_func, o.dur_us -
 ap AS (SELECT p.*, excess, peers, (tc - calls) / peers AS mc, (ts - self_us) / peers AS ms, (tw - wall_us) / peers AS mw, (tm - 1) / peers AS pres
   FROM ps p JOIN ex USING (trace_id, root_id, root_func) JOIN tot USING (trace_id, root_func, path))"""
 
+PARTS = """, own AS (SELECT trace_id, root_id, path, calls, excess, CASE WHEN path = '' THEN 'self' WHEN calls >= 1.5 * mc + 1 THEN 'more-calls' ELSE 'slower' END AS kind, self_us - ms AS part
+        FROM ap WHERE self_us > ms AND (pres >= 0.05 OR path = '')),
+        fresh AS (SELECT trace_id, root_id, split_part(path, '/', 1) AS p1, min(pres) FILTER (WHERE path = split_part(path, '/', 1)) AS top_pres FROM ap WHERE path <> '' GROUP BY ALL),
+        tops AS (SELECT a.*, CASE WHEN f.top_pres < 0.05 THEN f.p1 ELSE a.path END AS top FROM ap a JOIN fresh f ON f.trace_id = a.trace_id AND f.root_id = a.root_id AND f.p1 = split_part(a.path, '/', 1) WHERE a.pres < 0.05 AND a.path <> ''),
+        newp AS (SELECT trace_id, root_id, top AS path, max(CASE WHEN path = top THEN calls END) AS calls, max(excess) AS excess, 'new-path' AS kind, sum(self_us - ms) AS part FROM tops GROUP BY trace_id, root_id, top),
+        irqm AS (SELECT trace_id, func AS root_func, sum(irq_us) AS ti FROM st GROUP BY ALL),
+        irqp AS (SELECT ex.trace_id, ex.root_id, first(q.func ORDER BY q.dur_us DESC, q.parent_id, q.ord) AS path, count(*) AS calls, excess, 'irq' AS kind, r.irq_us - (ti - r.irq_us) / peers AS part
+          FROM ex JOIN irqm USING (trace_id, root_func) JOIN st r ON r.trace_id = ex.trace_id AND r.span_id = ex.root_id
+          JOIN tree q ON q.trace_id = ex.trace_id AND q.flags >= 8 AND ex.root_id IN (q.p0, q.p1) GROUP BY ex.trace_id, ex.root_id, excess, r.irq_us, ti, peers),
+        c AS (SELECT trace_id, root_id, path, calls, excess, kind, part FROM own UNION ALL SELECT trace_id, root_id, path, calls, excess, kind, part FROM newp UNION ALL SELECT * FROM irqp),"""
+
 
 def _tree(select: str) -> str:
     return TREE + select
@@ -182,21 +193,16 @@ ORACLES: dict[str, str] = {
     "root_outliers": OUT + "SELECT trace_id, span_id, func, round(dur_us - p50, 4) AS excess_us, round(dur_us / p50, 3) AS ratio FROM outl",
     "spiky_outlier_spans": SPIKY + "SELECT span_id, func, round(p50, 4) AS typical_us, round(dur_us - p50, 4) AS excess_us FROM so",
     "path_stats": OUT + REL + "SELECT trace_id, root_id, path, calls, self_us, wall_us FROM ps",
-    "cause": OUT + REL + """, part AS (SELECT trace_id, root_id, path, CASE WHEN path = '' THEN 'self' WHEN calls >= 1.5 * mc + 1 THEN 'more-calls' ELSE 'slower' END AS kind, self_us - ms AS part, pres FROM ap),
-        q AS (SELECT * FROM part WHERE part > 0.05 * (SELECT excess FROM ex WHERE ex.trace_id = part.trace_id AND ex.root_id = part.root_id)),
-        big AS (SELECT trace_id, root_id, max(CASE WHEN kind = 'self' THEN part END) AS sp FROM q GROUP BY ALL)
-        SELECT o.trace_id, o.span_id, o.func, 'self' AS cause, o.timed - 1 AS peers, round(o.p50, 4) AS typical_us, true AS slow FROM outl o JOIN big ON big.trace_id = o.trace_id AND root_id = span_id
-        WHERE o.depth = 1 UNION ALL SELECT o.trace_id, o.span_id, o.func, NULL, o.timed - 1, round(o.p50, 4), true FROM outl o WHERE false""",
-    "contributors": OUT + REL + """, own AS (SELECT trace_id, root_id, path, calls, excess, CASE WHEN path = '' THEN 'self' WHEN calls >= 1.5 * mc + 1 THEN 'more-calls' ELSE 'slower' END AS kind, self_us - ms AS part
-        FROM ap WHERE self_us > ms AND (pres >= 0.05 OR path = '')),
-        fresh AS (SELECT trace_id, root_id, split_part(path, '/', 1) AS p1, min(pres) FILTER (WHERE path = split_part(path, '/', 1)) AS top_pres FROM ap WHERE path <> '' GROUP BY ALL),
-        tops AS (SELECT a.*, CASE WHEN f.top_pres < 0.05 THEN f.p1 ELSE a.path END AS top FROM ap a JOIN fresh f ON f.trace_id = a.trace_id AND f.root_id = a.root_id AND f.p1 = split_part(a.path, '/', 1) WHERE a.pres < 0.05 AND a.path <> ''),
-        newp AS (SELECT trace_id, root_id, top AS path, max(CASE WHEN path = top THEN calls END) AS calls, max(excess) AS excess, 'new-path' AS kind, sum(self_us - ms) AS part FROM tops GROUP BY trace_id, root_id, top),
-        irqm AS (SELECT trace_id, func AS root_func, sum(irq_us) AS ti FROM st GROUP BY ALL),
-        irqp AS (SELECT ex.trace_id, ex.root_id, first(q.func ORDER BY q.dur_us DESC, q.parent_id, q.ord) AS path, count(*) AS calls, excess, 'irq' AS kind, r.irq_us - (ti - r.irq_us) / peers AS part
-          FROM ex JOIN irqm USING (trace_id, root_func) JOIN st r ON r.trace_id = ex.trace_id AND r.span_id = ex.root_id
-          JOIN tree q ON q.trace_id = ex.trace_id AND q.flags >= 8 AND ex.root_id IN (q.p0, q.p1) GROUP BY ex.trace_id, ex.root_id, excess, r.irq_us, ti, peers),
-        c AS (SELECT trace_id, root_id, path, calls, excess, kind, part FROM own UNION ALL SELECT trace_id, root_id, path, calls, excess, kind, part FROM newp UNION ALL SELECT * FROM irqp),
+    "cause": OUT + REL + PARTS + """
+        k AS (SELECT *, row_number() OVER (PARTITION BY trace_id, root_id ORDER BY part DESC) AS r, row_number() OVER (PARTITION BY trace_id, root_id, kind = 'irq' ORDER BY part DESC) AS r2
+          FROM c WHERE part > 0.05 * excess),
+        g AS (SELECT trace_id, root_id, max(excess) AS excess, max(CASE WHEN r = 1 THEN kind END) AS top, coalesce(max(CASE WHEN kind = 'self' THEN part END), 0) AS sp,
+          coalesce(sum(CASE WHEN kind <> 'irq' AND r2 <= 2 THEN part END), 0) AS big2, count_if(kind <> 'irq') AS nb FROM k GROUP BY ALL),
+        w AS (SELECT g.*, s.irq_us, ti, peers, excess - greatest(0, s.irq_us - CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.trace_id = g.trace_id AND k.root_id = g.root_id AND k.kind = 'irq') THEN (ti - s.irq_us) / peers ELSE 0 END) AS own
+          FROM g JOIN st s ON s.trace_id = g.trace_id AND s.span_id = g.root_id JOIN irqm m ON m.trace_id = s.trace_id AND m.root_func = s.func JOIN (SELECT trace_id, root_id, peers FROM ex) USING (trace_id, root_id))
+        SELECT o.trace_id, o.span_id, o.func, CASE WHEN top = 'irq' THEN 'irq' WHEN sp >= 0.5 * own AND sp > 0 THEN 'self' WHEN nb = 0 OR big2 < 0.5 * own THEN 'spread' ELSE top END AS cause,
+        o.timed - 1 AS peers, round(o.p50, 4) AS typical_us, true AS slow FROM outl o JOIN w ON w.trace_id = o.trace_id AND root_id = span_id""",
+    "contributors": OUT + REL + PARTS + """
         k AS (SELECT *, row_number() OVER (PARTITION BY trace_id, root_id ORDER BY part DESC) AS r FROM c WHERE part > 0.05 * excess)
         SELECT trace_id, root_id AS span_id, kind, path, round(part, 3) AS part_us, calls FROM k WHERE r = 1""",
     "same_func_steps": FLAT + """ SELECT span_id, lag(span_id) OVER w AS prev_id, lead(span_id) OVER w AS next_id FROM flat WINDOW w AS (PARTITION BY func ORDER BY start_us, span_id)""",
