@@ -198,8 +198,8 @@ ORACLES: dict[str, str] = {
           FROM c WHERE part > 0.05 * excess),
         g AS (SELECT trace_id, root_id, max(excess) AS excess, max(CASE WHEN r = 1 THEN kind END) AS top, coalesce(max(CASE WHEN kind = 'self' THEN part END), 0) AS sp,
           coalesce(sum(CASE WHEN kind <> 'irq' AND r2 <= 2 THEN part END), 0) AS big2, count_if(kind <> 'irq') AS nb FROM k GROUP BY ALL),
-        w AS (SELECT g.*, s.irq_us, ti, peers, excess - greatest(0, s.irq_us - CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.trace_id = g.trace_id AND k.root_id = g.root_id AND k.kind = 'irq') THEN (ti - s.irq_us) / peers ELSE 0 END) AS own
-          FROM g JOIN st s ON s.trace_id = g.trace_id AND s.span_id = g.root_id JOIN irqm m ON m.trace_id = s.trace_id AND m.root_func = s.func JOIN (SELECT trace_id, root_id, peers FROM ex) USING (trace_id, root_id))
+        w AS (SELECT g.*, g.excess - greatest(0, s.irq_us - CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.trace_id = g.trace_id AND k.root_id = g.root_id AND k.kind = 'irq') THEN (ti - s.irq_us) / e2.peers ELSE 0 END) AS own
+          FROM g JOIN st s ON s.trace_id = g.trace_id AND s.span_id = g.root_id JOIN irqm m ON m.trace_id = s.trace_id AND m.root_func = s.func JOIN ex e2 ON e2.trace_id = g.trace_id AND e2.root_id = g.root_id)
         SELECT o.trace_id, o.span_id, o.func, CASE WHEN top = 'irq' THEN 'irq' WHEN sp >= 0.5 * own AND sp > 0 THEN 'self' WHEN nb = 0 OR big2 < 0.5 * own THEN 'spread' ELSE top END AS cause,
         o.timed - 1 AS peers, round(o.p50, 4) AS typical_us, true AS slow FROM outl o JOIN w ON w.trace_id = o.trace_id AND root_id = span_id""",
     "contributors": OUT + REL + PARTS + """

@@ -105,10 +105,8 @@ def _join_cr(pieces: list[bytes]) -> list[bytes]:
 def stream_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Streaming lines of a directory that receives files of trace output.
 
-    Lines carry their file (trace_id) and the scan position inside the micro-batch.
+    Lines carry their file (trace_id) and block; ``live`` counts positions after reading columns.
     """
     return (spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files).text(path)
             .select(F.sha2(F.col("_metadata.file_path"), 224).substr(1, 16).alias("trace_id"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("pos"),
-                    F.regexp_replace("value", "\r$", "").alias("value")))
+                    F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value")))

@@ -23,13 +23,29 @@ SPAN = ("trace_id string, task_key string, span_id bigint, func string, parent_i
 STATE = "ids array<bigint>, funcs array<string>, indents array<int>, starts array<double>, flags array<int>, next_id bigint"
 
 
+TOKEN = ("trace_id string, block bigint, kind string, indent int, func string, dur_us double, abs_us double, irq boolean, "
+         "task_key string, text string, arrived timestamp")
+
+
 def live_tokens(lines: DataFrame) -> DataFrame:
-    """Call lines of a stream with their task; lines that name no task belong to their CPU."""
-    t = tokenize(lines.withColumn("line_no", F.col("block") * F.lit(1 << 20) + F.col("pos")).withColumn("arrived", F.current_timestamp()))
+    """Token rows of a stream with their task and their position in the micro-batch (``line_no``).
+
+    Streams have no row ids, so positions are counted along each partition; only the
+    narrow token columns pass through Python. Lines that name no task belong to their CPU.
+    """
+    t = tokenize(lines.withColumn("arrived", F.current_timestamp()))
     irq = F.coalesce(F.col("func").isin(IRQ_NAMES) | F.col("func").rlike(IRQ_PREFIXES), F.lit(False))
     cpu = F.coalesce("cpu", F.lit(-1))
-    return t.select("trace_id", "line_no", "arrived", "kind", "indent", "func", "dur_us", "abs_us", irq.alias("irq"),
-                    F.coalesce(task_key(F.col("pid"), cpu), F.concat(F.lit("?/"), cpu.cast("string"))).alias("task_key"))
+    t = t.select("trace_id", "block", "kind", "indent", "func", "dur_us", "abs_us", irq.alias("irq"),
+                 F.coalesce(task_key(F.col("pid"), cpu), F.concat(F.lit("?/"), cpu.cast("string"))).alias("task_key"), "text", "arrived")
+    return t.mapInPandas(_count_rows, TOKEN + ", line_no bigint")
+
+
+def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = 0
+    for pdf in batches:
+        yield pdf.assign(line_no=range(at, at + len(pdf)))
+        at += len(pdf)
 
 
 def live_spans(lines: DataFrame, idle_ms: int = 600_000) -> DataFrame:
@@ -60,7 +76,7 @@ def _make_step(idle_ms: int):
             drop(0)
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("line_no", kind="stable")
+            rows = pd.concat(list(batches)).sort_values(["block", "line_no"], kind="stable")
             now = rows["arrived"].iloc[-1]
             for kind, ind, func, dur, at, irq in zip(rows["kind"], rows["indent"], rows["func"], rows["dur_us"], rows["abs_us"], rows["irq"]):
                 ind = len(stack) if pd.isna(ind) else int(ind)
@@ -97,5 +113,4 @@ def live_func_stats(spans: DataFrame, window: str = "1 minute", late: str = "5 m
 
 def live_quarantine(lines: DataFrame) -> DataFrame:
     """Lines of a stream that no rule understood."""
-    t = tokenize(lines)
-    return t.where(F.col("kind") == "unparsed").select("trace_id", "block", "pos", "text")
+    return live_tokens(lines).where(F.col("kind") == "unparsed").select("trace_id", "block", "line_no", "text")
