@@ -13,9 +13,7 @@ def spark():
     s = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2",
         "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
-        "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+        "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     s.sparkContext.setLogLevel("ERROR")
     return s
 
