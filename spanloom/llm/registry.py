@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, mixing, shards
+from . import chat, decontaminate, language, mixing, shards
 from .base import table
 
 
@@ -17,10 +17,12 @@ def over(name: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": over("conversations", chat.chats_query),
     "op4_sharding": over("documents", shards.shards_query),
+    "op6_decontamination": lambda spark, sf_dir: decontaminate.decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_language_id": over("documents", language.language_query),
     "op10_mixing": over("documents", mixing.mixing_query),
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
+    "op6_decontamination": decontaminate.ORACLE,
 }
