@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, mixing, shards
+from . import chat, decontaminate, language, mixing, neardup_vectors, shards
 from .base import table
 
 
@@ -15,6 +15,7 @@ def over(name: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": over("embeddings", neardup_vectors.near_dups),
     "op2_chat_formatting": over("conversations", chat.chats_query),
     "op4_sharding": over("documents", shards.shards_query),
     "op6_decontamination": lambda spark, sf_dir: decontaminate.decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_neardup": neardup_vectors.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
 }
