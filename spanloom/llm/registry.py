@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, mixing, neardup_text, neardup_vectors, shards
+from . import chat, decontaminate, language, mixing, neardup_text, neardup_vectors, passages, shards, substrings
 from .base import table
 
 
@@ -20,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": over("documents", shards.shards_query),
     "op5_minhash_neardup": over("documents", neardup_text.near_dups_query),
     "op6_decontamination": lambda spark, sf_dir: decontaminate.decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op7_substring_bytes": over("documents", substrings.substrings_query),
     "op8_language_id": over("documents", language.language_query),
+    "op9_substring_words": over("documents", passages.passages_query),
     "op10_mixing": over("documents", mixing.mixing_query),
 }
 
@@ -28,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op1_embedding_neardup": neardup_vectors.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
+    "op9_substring_words": passages.ORACLE,
 }
