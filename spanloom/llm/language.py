@@ -113,9 +113,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     Read: labelled rows with an id. The counts are added up by Spark; only ``profile`` rows per language reach the driver.
     """
     rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("l")).where("k is not null and l is not null and t is not null")
-    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.lit(float(sample_docs)) / F.col("n")).drop("n")
+    # one share per language; the driver holds a whole profile for each anyway
+    shares = {r.l: sample_docs / r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64("k", F.lit("profile")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = rows.join(sizes, "l").where(unit < F.col("share")).select("l", "t")
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col("l")) if shares else F.lit(0.0)
+    picked = rows.where(unit < share).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
