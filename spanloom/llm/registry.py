@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, mixing, neardup_text, neardup_vectors, passages, shards, substrings
+from . import chat, decontaminate, language, mixing, neardup_text, neardup_vectors, pages, passages, shards, substrings
 from .base import table
 
 
@@ -17,6 +17,7 @@ def over(name: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": over("embeddings", neardup_vectors.near_dups),
     "op2_chat_formatting": over("conversations", chat.chats_query),
+    "op3_html_extraction": over("pages", pages.pages_query),
     "op4_sharding": over("documents", shards.shards_query),
     "op5_minhash_neardup": over("documents", neardup_text.near_dups_query),
     "op6_decontamination": lambda spark, sf_dir: decontaminate.decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
