@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import language, mixing, shards
+from spanloom.llm import decontaminate, language, mixing, neardup_text, shards
 from spanloom.llm.base import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,6 +20,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_known(docs)
 
 
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup_text.keep_first(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix by source takes them."""
     return mixing.mix_documents(docs)
@@ -30,7 +40,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shards.shard_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("language", identify), ("mixing", mix), ("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [("language", identify), ("near_dups", dedup), ("decontamination", decontaminated), ("mixing", mix), ("sharding", shard)]
 
 #: learning, sketching and balancing have no SQL form; tests compare the stages with brute force
 ORACLE_SQL = None

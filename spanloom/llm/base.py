@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..session import cut
 
-__all__ = ["append", "cut", "mix64", "pieces", "table", "utf8", "word_hashes", "word_spans"]
+__all__ = ["append", "cut", "mix64", "pieces", "put_back", "set_aside", "table", "utf8", "word_hashes", "word_spans"]
 
 #: text handled at once inside a task; temporaries are a small multiple of it (one longer text is handled alone)
 PIECE_BYTES = 1 << 21
@@ -150,6 +150,11 @@ def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable
     return df.mapInArrow(run, schema)
 
 
-def only(df: DataFrame, **cols) -> DataFrame:
-    """Exactly these columns."""
-    return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in cols.items()])
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns under work names, and those names: an operator's own columns can't clash with them."""
+    names = {c: f"__own_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), names
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(a).alias(c) for c, a in names.items()])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import append, pieces, word_hashes, word_spans
+from .base import append, pieces, put_back, set_aside, word_hashes, word_spans
 from .fm import FMIndex, expand
 
 WINDOW = 13
@@ -186,9 +186,8 @@ def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated, with their own columns."""
-    aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}  # the result's names may be taken
-    got = find_benchmark(docs.select(*[F.col(c).alias(a) for c, a in aside.items()]), benchmark, text=aside["text"])
-    return got.where("not contaminated").select(*[F.col(a).alias(c) for c, a in aside.items()])
+    own, names = set_aside(docs)
+    return put_back(find_benchmark(own, benchmark, text=names["text"]).where("not contaminated"), names)
 
 
 ORACLE = r"""

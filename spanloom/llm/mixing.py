@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import append, cut, fresh, not_space, pieces, word_spans
+from .base import append, cut, fresh, not_space, pieces, put_back, set_aside, word_spans
 
 CAP = 3.0
 PATTERN = (1, 2, 3)
@@ -166,7 +166,6 @@ def mixing_query(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with its own columns."""
-    (n,) = fresh(docs, "times")
-    got = mix(docs.select(*docs.columns, F.col("doc_id").alias(n)).drop(n))
-    again = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(n)
-    return got.where("copies > 0").select(*docs.columns, again).drop(n)
+    own, names = set_aside(docs)
+    got = mix(own, names["doc_id"], names["text"], names["source"]).where("copies > 0")
+    return put_back(got.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), names)

@@ -12,8 +12,8 @@ Copies (equal word sequences) are made one first. Candidates of an entry are not
 compared with a leader; then those that a leader did not bring into one component get a second leader; only members of
 components that still differ are compared among themselves. Components are the classes; the smallest id is kept.
 
-Null, empty and blank texts have no shingles and are classes of their own, as are rows without an id. Repeated rows share a class; of rows with
-one id all or none are kept. An empty table gives no rows. Columns pass through in ``keep_first``.
+Null, empty and blank texts have no shingles and are classes of their own, as are rows without an id. Repeated rows share a class, and
+both are rows of the result; ``keep_first`` keeps one of them, with all columns under their own names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import cut, fresh, mix64, not_space, pieces, prefix_hash, span_hash, word_hashes, word_spans
+from .base import append, cut, mix64, not_space, pieces, prefix_hash, put_back, set_aside, span_hash, word_hashes, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -208,9 +209,28 @@ def near_dups_query(docs: DataFrame) -> DataFrame:
     return near_dups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "kept")
 
 
+def word_key(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``h1``, the hash of the word sequence."""
+    def make(col: pa.Array) -> list[pa.Array]:
+        out = [np.zeros(0, np.int64)]
+        for _, _, data, off in pieces(col):
+            start, end, words = word_spans(data, off, not_space())
+            out.append(span_hash(prefix_hash(word_hashes(data, start, end, lower=True)), words[:-1], words[1:]).view(np.int64))
+        return [pa.array(np.concatenate(out))]
+
+    return append(docs, text, [T.StructField(name, T.LongType())], make)
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are first of their class, with their own columns; repeated rows become one."""
-    drop = cut(near_dups(docs, key, text).where(~F.col("kept")).select("id").distinct())
-    (d,) = fresh(docs, "d")
-    left = docs.join(drop.select(F.col("id").alias(d)), F.col(key).cast("bigint") == F.col(d), "left_anti")
-    return left
+    """One document of each class, with its own columns; of repeated rows one stays."""
+    near = cut(near_dups(docs, key, text))
+    gone = near.where(~F.col("kept")).select("id", "h1").distinct()
+    first = near.where(F.col("kept") & F.col("id").isNotNull() & (F.col("n_shingles") > 0)).select("id", "h1", "class_id")
+    many = first.groupBy("class_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("class_id")
+    twice = cut(first.join(many, "class_id").distinct())
+    own, names = set_aside(docs)
+    rows = word_key(own.withColumn("id", F.col(names[key]).cast("bigint")), names[text], "h1").join(gone, ["id", "h1"], "left_anti")
+    if twice.limit(1).count():  # rows that repeat an id of a class: rare, and only they are compared
+        rows = rows.join(twice.select("id", "h1"), ["id", "h1"], "left_anti").select(*names.values()).unionByName(
+            rows.join(twice, ["id", "h1"]).dropDuplicates(["class_id"]).select(*names.values()))
+    return put_back(rows, names)
