@@ -9,8 +9,8 @@ M / (a + b - M), 0.8 or more; as M >= 4/9 (a + b), places more than (a + b) / 9
 bounds the band.
 
 Copies (equal word sequences) are made one first. Candidates of an entry are not paired with one another: each is
-compared with a leader; then those that a leader did not bring into one component get a second leader; only members of
-components that still differ are compared among themselves. Components are the classes; the smallest id is kept.
+compared with a leader, the member that meets most others. Only where that leaves different components are members compared among
+themselves, and only those that can reach the similarity with the shingles they share with any document still to compare. Components are the classes; the smallest id is kept.
 
 Null, empty and blank texts have no shingles and are classes of their own, as are rows without an id. Repeated rows share a class, and
 both are rows of the result; ``keep_first`` keeps one of them, with all columns under their own names. An empty table gives no rows.
@@ -29,11 +29,14 @@ from pyspark.sql import types as T
 
 from .base import append, cut, mix64, not_space, pieces, prefix_hash, put_back, set_aside, span_hash, word_hashes, word_spans
 from .components import components
+from .repeats import pack, unpack
 
 SHINGLE = 5
 KEPT = 3
 TABLES = 16
 SIMILARITY = 0.8
+#: documents of a component that a visitor is compared with at once
+BLOCK = 256
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,37 +167,111 @@ def sequences_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> Dat
     return picked.mapInArrow(make, "rep bigint, h1 bigint, sh binary").join(wanted, ["rep", "h1"], "left_semi").dropDuplicates(["h1"]).select("h1", "sh")
 
 
+def visit(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the components of entries. ``now``: h1, n, t, s, c.
+
+    A document visits the larger components it shares an entry with, as a whole: their members lie in blocks, and a visitor is
+    compared with a block at once, so pairs are never rows.
+    """
+    people = now.select("h1", "c").distinct()
+    size = people.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    own = now.select("h1", "t", "s", "c").join(size, "c").alias("x")
+    at = now.select("t", "s", "c").distinct().join(size, "c").alias("y")
+    larger = (F.col("y.k") > F.col("x.k")) | ((F.col("y.k") == F.col("x.k")) & (F.col("y.c") < F.col("x.c")))
+    goes = own.join(at, ["t", "s"]).where(larger).select(F.col("x.h1").alias("h1"), F.col("y.c").alias("c")).distinct()
+    blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
+    guests = goes.join(size, "c").select("c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("g"), "h1", F.lit(True).alias("guest"))
+    hosts = people.join(size, "c").join(goes.select("c").distinct(), "c", "left_semi").select("c", F.pmod(F.xxhash64("h1"), blocks).cast("int").alias("g"), "h1", F.lit(False).alias("guest"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        guest = t.column("guest").to_numpy(zero_copy_only=False)
+        ids = t.column("h1").to_numpy()
+        sh = [np.frombuffer(x, np.uint64) for x in t.column("sh").to_pylist()]
+        host = np.flatnonzero(~guest)
+        a, b = [], []
+        if len(host):
+            flat, n = np.concatenate([sh[i] for i in host]), np.array([len(sh[i]) for i in host])
+            of = np.repeat(np.arange(len(host)), n)
+            for v in np.flatnonzero(guest):
+                mine = np.sort(sh[v])
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                enough = np.bincount(of[hit], minlength=len(host)) >= least / (1 + least) * (n + len(mine)) - 1e-9
+                for i in host[enough]:
+                    if similarity(sh[v], sh[i], least) >= least:
+                        a.append(ids[v])
+                        b.append(ids[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return guests.unionByName(hosts).join(sequences, "h1").groupBy("c", "g").applyInArrow(meet, "a bigint, b bigint")
+
+
+def shared_shingles(sequences: DataFrame) -> DataFrame:
+    """(h1, held): how many shingles of each sequence occur in another one as well."""
+    shards = max(1, sequences.sparkSession.sparkContext.defaultParallelism) * 4
+    names = ["s", "id", "sh", "n"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                bodies = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(bodies)), [len(x) for x in bodies])
+                sh = np.concatenate(bodies)
+                order = np.lexsort((row, sh))
+                sh, row = sh[order], row[order]
+                first = np.flatnonzero(np.concatenate(([True], (sh[1:] != sh[:-1]) | (row[1:] != row[:-1]))))
+                times = np.diff(np.append(first, len(sh)))
+                sh, row = sh[first], row[first]
+                # what two sequences of this batch share needs no answer, but others must hear of it
+                same = np.concatenate(([False], sh[1:] == sh[:-1]))
+                known = same | np.concatenate((same[1:], [False]))
+                send_it = ~same
+                ids = part.column(0).to_numpy()
+                yield pack((sh[send_it] % np.uint64(shards)).astype(np.int64), [ids[row[send_it]], sh[send_it], np.where(known, 0, times)[send_it].astype(np.uint32)], names)
+                yield pack(np.full(int(known.sum()), -1), [ids[row[known]], np.zeros((int(known.sum()), 0), np.uint8), times[known].astype(np.uint32)], names)
+
+    def count(t: pa.Table) -> pa.Table:
+        ids, n = unpack(t, "id", np.int64), unpack(t, "n", np.uint32).astype(np.int64)
+        if t.column("s")[0].as_py() >= 0:
+            _, at, many = np.unique(unpack(t, "sh", np.uint64), return_inverse=True, return_counts=True)
+            n = np.where((many[at] > 1) | (n == 0), n, 0)
+        u, at = np.unique(ids, return_inverse=True)
+        return pa.table({"h1": u, "held": np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)})
+
+    sent = sequences.select("h1", "sh").mapInArrow(send, "s bigint, id binary, sh binary, n binary")
+    # answers that need no other batch are spread by themselves
+    sent = sent.withColumn("own", F.when(F.col("s") < 0, F.xxhash64("id")).otherwise(F.lit(0)))
+    return sent.groupBy("s", "own").applyInArrow(lambda t: count(t.drop(["own"])), "h1 bigint, held bigint").groupBy("h1").agg(F.sum("held").alias("held"))
+
+
 def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, tables: int = TABLES, kept: int = KEPT) -> DataFrame:
     """One row per document: id, h1, n_shingles, class_id (smallest id of the class), kept."""
     sig = cut(signatures(docs, key, text, tables, kept))
     able = F.col("id").isNotNull() & (F.col("n") > 0)
     nodes = cut(sig.where(able).groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).drop("h2"))
     entries = nodes.select("h1", "n", F.posexplode("sketch").alias("t", "s"))
-    shared = entries.groupBy("t", "s").agg(F.count(F.lit(1)).alias("k"), F.min("h1").alias("lead")).where("k > 1").drop("k")
-    members = cut(entries.join(shared, ["t", "s"]).join(nodes.select(F.col("h1").alias("lead"), F.col("n").alias("ln")), "lead"))
+    shared = entries.groupBy("t", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = cut(entries.join(shared, ["t", "s"]))
+    # the leader of an entry is the member that meets most others: in a group of edited copies, the one least edited
+    met = members.groupBy("h1").agg(F.sum("k").alias("met"), F.first("n").alias("n"))
+    leads = members.select("h1", "t", "s").join(met, "h1").groupBy("t", "s").agg(F.max(F.struct("met", "h1", "n")).alias("m")).select(
+        "t", "s", F.col("m.h1").alias("lead"), F.col("m.n").alias("ln"))
+    members = cut(members.drop("k").join(leads, ["t", "s"]))
     wanted = nodes.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "rep")
     seqs = cut(sequences_of(docs, key, text, wanted))
     long_enough = lambda p, q: F.least(p, q) >= F.greatest(p, q) * F.lit(least)
     # 1. everyone against the entry's leader
     pairs = members.where((F.col("h1") != F.col("lead")) & long_enough(F.col("n"), F.col("ln"))).select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct()
     links = cut(verify(pairs, seqs, least))
-    for last in (False, True):
-        label = components(links).withColumnRenamed("node", "h1").withColumnRenamed("component", "c")
-        now = cut(members.join(label, "h1", "left").withColumn("c", F.coalesce("c", "h1")))
-        open_ = now.groupBy("t", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t", "s")
-        now = cut(now.join(open_, ["t", "s"]))
-        if not last:
-            # 2. those outside the leader's component against the first of them
-            led = now.where("h1 = lead").select("t", "s", F.col("c").alias("lc"))
-            out = now.join(led, ["t", "s"]).where("c <> lc")
-            second = out.groupBy("t", "s").agg(F.min(F.struct("h1", "n", "c")).alias("m"))
-            tried = now.join(second, ["t", "s"]).where((F.col("c") != F.col("m.c")) & (F.col("h1") != F.col("lead"))).select(F.col("m.h1").alias("a"), F.col("h1").alias("b"), "n", F.col("m.n").alias("n2"))
-        else:
-            # 3. what is still apart, member by member of different components
-            one, two = now.alias("x"), now.alias("y")
-            tried = one.join(two, ["t", "s"]).where("x.h1 < y.h1 and x.c <> y.c and x.h1 <> x.lead").select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("n2"))
-        more = tried.where(long_enough(F.col("n"), F.col("n2"))).select("a", "b").distinct()
-        links = cut(links.unionByName(cut(verify(more, seqs, least))))
+    # 2. entries whose members are still in different components: members against one another
+    label = components(links).withColumnRenamed("node", "h1").withColumnRenamed("component", "c")
+    now = cut(members.join(label, "h1", "left").withColumn("c", F.coalesce("c", "h1")))
+    open_ = now.groupBy("t", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t", "s")
+    now = cut(now.join(open_, ["t", "s"]))
+    held = shared_shingles(seqs.join(now.select("h1").distinct(), "h1", "left_semi"))
+    # no more of a document can be aligned than it shares with any other that is still to compare
+    now = cut(now.join(held, "h1").where(F.col("held") >= F.col("n") * F.lit(least)))
+    links = cut(links.unionByName(visit(now, seqs, least)))
     label = components(links).withColumnRenamed("node", "h1").withColumnRenamed("component", "c")
     named = nodes.join(label, "h1", "left").withColumn("c", F.coalesce("c", "h1"))
     first = named.groupBy("c").agg(F.min("rep").alias("class_id"))
