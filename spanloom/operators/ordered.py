@@ -5,6 +5,7 @@ function to a single executor. Every ordered job here therefore works in two
 levels: rows are cut into chunks of bounded size, the window runs inside
 (key, chunk), and one summary row per (key, chunk) carries the state from the
 chunks before (or after). The summary is about ``rows / CHUNK_ROWS`` rows long.
+Every frame starts at the edge of its partition, so each kind costs one sort and one pass.
 """
 
 from __future__ import annotations
@@ -25,18 +26,26 @@ def line_chunk(col: str = "line_no", bits: int = CHUNK_BITS) -> Column:
 
 def with_value_chunk(df: DataFrame, by: list[str], col: str, rows: int = CHUNK_ROWS,
                      out: str = "chunk") -> DataFrame:
-    """Add an order-preserving chunk of ``col`` sized for about ``rows`` rows.
+    """Add an order-preserving chunk of ``col`` of about ``rows`` rows per ``by`` group.
 
-    The width is (max - min) * rows / n per ``by`` group, from one combinable
-    aggregate, so the number of chunks is bounded by n / rows + 1.
+    Two levels of equal width, each from one combinable aggregate: first over the whole range of the group,
+    then again over the actual range of every chunk that came out too full. A far value or a burst that
+    takes up one chunk of the first level is cut by the second.
     """
+    wide = _level(df, by, col, rows, "_c1")
+    return (_level(wide, [*by, "_c1"], col, rows, "_c2")
+            .withColumn(out, F.col("_c1") * F.lit(1 << 31) + F.least(F.col("_c2"), F.lit((1 << 31) - 1))).drop("_c1", "_c2"))
+
+
+def _level(df: DataFrame, by: list[str], col: str, rows: int, out: str) -> DataFrame:
     stat = df.groupBy(*by).agg(
         F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"),
         F.count(F.lit(1)).alias("_n"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) * rows / F.col("_n"), F.lit(1e-9))
-    return (df.join(stat, by)
-            .withColumn(out, F.coalesce(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(0)).cast("bigint"))
-            .drop("_lo", "_hi", "_n"))
+    width = (F.col("_hi") - F.col("_lo")) * rows / F.col("_n")
+    cell = F.when((F.col("_n") > rows) & (width > 0), F.floor((F.col(col) - F.col("_lo")) / width))
+    keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    both = df.alias("l").join(stat.alias("r"), reduce(lambda x, y: x & y, keys))
+    return both.select("l.*", F.coalesce(cell, F.lit(0)).cast("bigint").alias(out))
 
 
 def running(df: DataFrame, keys: list[str], chunk: str, order: list[str],
@@ -57,13 +66,14 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     inner = Window.partitionBy(*keys, chunk).orderBy(*order)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    after = inner.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what precedes in descending order: a frame that only grows, so one pass does
+    after = Window.partitionBy(*keys, chunk).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
     pos = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
     local, summ, carry = {}, [], []
     outer = Window.partitionBy(*keys).orderBy(chunk)
     o_before = outer.rowsBetween(Window.unboundedPreceding, -1)
-    o_after = outer.rowsBetween(1, Window.unboundedFollowing)
+    o_after = Window.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
     for i, (out, kind, c) in enumerate(specs):
         s = f"_s{i}"
         if kind == "sum":
@@ -82,9 +92,9 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str],
             summ.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(s))
             carry.append(F.last(s, ignorenulls=True).over(o_before).alias(f"_c{i}"))
         elif kind == "next":
-            local[out] = F.first(c, ignorenulls=True).over(after)
+            local[out] = F.last(c, ignorenulls=True).over(after)
             summ.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(s))
-            carry.append(F.first(s, ignorenulls=True).over(o_after).alias(f"_c{i}"))
+            carry.append(F.last(s, ignorenulls=True).over(o_after).alias(f"_c{i}"))
         else:
             raise ValueError(kind)
 

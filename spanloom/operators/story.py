@@ -11,8 +11,6 @@ from .ordered import median_picks, order_stats, running
 
 MIN_RUN = 3
 UNIT_LENGTHS = range(2, 9)
-#: sibling lists up to this length are folded exactly as a sequence inside one task
-EXACT_LIST = 1 << 16
 
 LIST = ["trace_id", "list_id", "task_key"]
 
@@ -54,38 +52,40 @@ def run_folds(r: DataFrame) -> DataFrame:
     return g.join(med, key, "left")
 
 
-def loop_folds(r: DataFrame, exact_list: int = EXACT_LIST) -> DataFrame:
-    """From ``runs``: members of folded loops (list, fold_id, unit_len, reps, pos, rep, span_id, func, dur_us).
+def folds(r: DataFrame) -> DataFrame:
+    """From ``runs``: members of every fold of a sibling list, each call in one fold at most.
 
-    A loop is a unit of 2 to 8 calls repeated at least three times; runs of one function
-    are not loops. Lists up to ``exact_list`` calls are read as a sequence and may step
-    over one or two stray calls between repetitions. Longer lists are folded by windows
-    in chunks: strict repetition only, so strays end a loop there.
+    One scan from the left, the same for lists of any length: at each call a run of three or more equal functions is
+    a fold of kind ``group`` (unit_len 1); otherwise the unit of 2 to 8 calls that repeats at least three times with most
+    members is one of kind ``loop``, where one or two stray calls between repetitions are stepped over and stay single. What follows a
+    choice depends on where it ends, so a list is read in one task, as a stream of narrow rows; lists in which no function occurs
+    three times are left out before.
     """
-    s = r.where(F.col("list_len") >= 2 * MIN_RUN)
-    # a unit repeated three times needs a function that occurs three times
+    s = r.where(F.col("list_len") >= MIN_RUN)
     often = s.groupBy(*LIST, "func").count().where(F.col("count") >= MIN_RUN).select(*LIST).distinct()
-    small = s.where(F.col("list_len") <= exact_list).join(often, LIST, "left_semi").groupBy(*LIST).applyInPandas(
-        _fold_list, "trace_id string, list_id bigint, task_key string, fold_id bigint, unit_len int, reps int, pos int, rep int, "
+    return s.join(often, LIST, "left_semi").groupBy(*LIST).applyInPandas(
+        _fold_list, "trace_id string, list_id bigint, task_key string, kind string, fold_id bigint, unit_len int, reps int, pos int, rep int, "
                     "span_id bigint, func string, dur_us double, start_us double, ord bigint")
-    long = s.where(F.col("list_len") > exact_list)
-    return small if long.isEmpty() else small.unionByName(_strict_loops(long))
 
 
-_FOLD_COLUMNS = ["trace_id", "list_id", "task_key", "fold_id", "unit_len", "reps", "pos", "rep", "span_id", "func", "dur_us", "start_us", "ord"]
+def loop_folds(r: DataFrame) -> DataFrame:
+    """From ``runs``: members of loops alone."""
+    return folds(r).where(F.col("kind") == "loop").drop("kind")
+
+
+_FOLD_COLUMNS = ["trace_id", "list_id", "task_key", "kind", "fold_id", "unit_len", "reps", "pos", "rep", "span_id", "func", "dur_us", "start_us", "ord"]
 _NO_FOLD = pd.DataFrame({c: pd.Series(dtype=object) for c in _FOLD_COLUMNS})
 
 
-def _fold_list(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Loop members of one sibling list (bounded length)."""
-    names, order = pdf["func"].tolist(), pdf["ord"].to_numpy().argsort(kind="stable").tolist()
-    names = [names[k] for k in order]
+def scan(names: list[str]) -> list[tuple[str, int, int, int, int, int, int]]:
+    """Members of the folds of one list: (kind, fold, unit length, repetitions, place in unit, repetition, place in list)."""
     n, rows, p = len(names), [], 0
     while p < n:
         q = p
         while q < n and names[q] == names[p]:
             q += 1
         if q - p >= MIN_RUN:
+            rows += [("group", p, 1, q - p, 0, k - p, k) for k in range(p, q)]
             p = q
             continue
         best = _best_loop(names, p)
@@ -93,11 +93,17 @@ def _fold_list(pdf: pd.DataFrame) -> pd.DataFrame:
             p += 1
             continue
         unit, starts, end = best
-        rows += [(p, unit, len(starts), k, r, order[a + k]) for r, a in enumerate(starts) for k in range(unit)]
+        rows += [("loop", p, unit, len(starts), k, r, a + k) for r, a in enumerate(starts) for k in range(unit)]
         p = end
+    return rows
+
+
+def _fold_list(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("ord", kind="stable", ignore_index=True)
+    rows = scan(pdf["func"].tolist())
     if not rows:
         return _NO_FOLD
-    f = pd.DataFrame(rows, columns=["fold_id", "unit_len", "reps", "pos", "rep", "at"])
+    f = pd.DataFrame(rows, columns=["kind", "fold_id", "unit_len", "reps", "pos", "rep", "at"])
     return pd.concat([pdf.iloc[f["at"]].reset_index(drop=True), f], axis=1)[_FOLD_COLUMNS]
 
 
@@ -119,33 +125,6 @@ def _best_loop(names: list[str], p: int) -> tuple[int, list[int], int] | None:
     return best
 
 
-def _strict_loops(s: DataFrame) -> DataFrame:
-    """Loops of long lists by windows: calls equal to the call one unit earlier form islands."""
-    x = cut(s.withColumn("pc", F.shiftright("idx", 16)))
-    units = x.withColumn("unit_len", F.explode(F.array(*[F.lit(u) for u in UNIT_LENGTHS])))
-    back = x.select(*LIST, F.explode(F.array(*[F.struct(F.lit(u).alias("unit_len"), (F.col("idx") + u).alias("idx"), F.col("func").alias("_bf"))
-                                               for u in UNIT_LENGTHS])).alias("b")).select(*LIST, "b.*")
-    e = cut(units.join(back, [*LIST, "unit_len", "idx"], "left").withColumn("_brk", F.when(F.col("func").eqNullSafe(F.col("_bf")), 0).otherwise(1)))
-    e = running(e, [*LIST, "unit_len"], "pc", ["idx"], [("_isl", "sum", "_brk")]).where(F.col("_brk") == 0)
-    g = e.groupBy(*LIST, "unit_len", "_isl").agg((F.min("idx") - F.max("unit_len")).alias("fold_id"), F.count(F.lit(1)).alias("_k"))
-    out = g.where(F.col("_k") >= (MIN_RUN - 1) * F.col("unit_len")).select(
-        *LIST, "fold_id", "unit_len", (F.floor(F.col("_k") / F.col("unit_len")) + 1).cast("int").alias("reps"))
-    # of overlapping islands keep the one with most members: decided per first position
-    w = Window.partitionBy(*LIST, "fold_id").orderBy(F.desc(F.col("unit_len") * F.col("reps")), "unit_len")
-    best = out.withColumn("_w", F.row_number().over(w)).where(F.col("_w") == 1).drop("_w")
-    best = running(cut(best.withColumns({"pc": F.shiftright("fold_id", 16), "_end": F.col("fold_id") + F.col("unit_len") * F.col("reps")})),
-                   LIST, "pc", ["fold_id"], [("_before", "maxb", "_end")])
-    best = best.where(F.coalesce("_before", F.lit(-1)) <= F.col("fold_id"))
-    m = best.select(*LIST, "fold_id", "unit_len", "reps", F.explode(F.sequence(F.lit(0), F.col("unit_len") * F.col("reps") - 1)).alias("_o"))
-    m = m.withColumns({"idx": F.col("fold_id") + F.col("_o"), "pos": (F.col("_o") % F.col("unit_len")).cast("int"),
-                       "rep": F.floor(F.col("_o") / F.col("unit_len")).cast("int")})
-    # a stretch of one function is a run, not a loop
-    m = m.join(x.select(*LIST, "idx", "span_id", "func", "dur_us", "start_us", "ord"), [*LIST, "idx"])
-    real = m.groupBy(*LIST, "fold_id").agg(F.min("func").alias("_a"), F.max("func").alias("_z")).where(F.col("_a") != F.col("_z"))
-    return m.join(real.drop("_a", "_z"), [*LIST, "fold_id"], "left_semi").select(
-        *LIST, "fold_id", "unit_len", "reps", "pos", "rep", "span_id", "func", "dur_us", "start_us", "ord")
-
-
 def loops(members: DataFrame) -> DataFrame:
     """One row per loop: unit, repetitions, total."""
     unit = F.transform(F.sort_array(F.collect_set(F.when(F.col("rep") == 0, F.struct("pos", "func")))), lambda x: x["func"])
@@ -154,6 +133,15 @@ def loops(members: DataFrame) -> DataFrame:
         F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
 
 
+def groups(members: DataFrame) -> DataFrame:
+    """One row per run of one function: calls, total, upper median and max."""
+    key = [*LIST, "fold_id"]
+    g = members.groupBy(*key).agg(
+        F.first("func").alias("func"), F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("dur_us"), F.lit(0.0)).alias("total_us"), F.max("dur_us").alias("max_us"),
+        F.min("start_us").alias("start_us"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+    return g.join(order_stats(members, key, "dur_us", {"median_us": F.floor(F.col("n") / 2)}).drop("n"), key, "left")
+
+
 def loop_positions(members: DataFrame) -> DataFrame:
     """The k-th call of a loop's unit as a group of its own; median of the middle two."""
     key = [*LIST, "fold_id", "pos"]
@@ -175,12 +163,10 @@ def story(st: DataFrame, events: DataFrame | None = None, gaps: DataFrame | None
 
     Interrupts are taken out before folding and shown as single calls at their time.
     """
-    r = cut(runs(siblings(st)))
-    g = cut(run_folds(r))
-    lm = cut(loop_folds(r))
-    lp = loops(lm)
-    in_run = r.join(g.select(*LIST, "run_id"), [*LIST, "run_id"], "left_semi").select("trace_id", "span_id")
-    folded = in_run.unionByName(lm.select("trace_id", "span_id"))
+    m = cut(folds(cut(runs(siblings(st)))))
+    g = groups(m.where(F.col("kind") == "group"))
+    lp = loops(m.where(F.col("kind") == "loop"))
+    folded = m.select("trace_id", "span_id")
     loose = st.withColumn("list_id", F.coalesce("parent_id", F.lit(-1))).join(folded, ["trace_id", "span_id"], "left_anti")
     nul = lambda t: F.lit(None).cast(t)
     items = (loose.select(*LIST, F.lit("span").alias("kind"), F.col("start_us").alias("t_us"), "ord", "span_id", "func",

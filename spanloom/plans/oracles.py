@@ -204,7 +204,7 @@ ORACLES: dict[str, str] = {
         o.timed - 1 AS peers, round(o.p50, 4) AS typical_us, true AS slow FROM outl o JOIN w ON w.trace_id = o.trace_id AND root_id = span_id""",
     "contributors": OUT + REL + PARTS + """
         k AS (SELECT *, row_number() OVER (PARTITION BY trace_id, root_id ORDER BY part DESC) AS r FROM c WHERE part > 0.05 * excess)
-        SELECT trace_id, root_id AS span_id, kind, path, round(part, 3) AS part_us, calls FROM k WHERE r = 1""",
+        SELECT trace_id, root_id AS span_id, kind, path, round(part, 3) AS part_us, calls FROM k""",
     "same_func_steps": FLAT + """ SELECT span_id, lag(span_id) OVER w AS prev_id, lead(span_id) OVER w AS next_id FROM flat WINDOW w AS (PARTITION BY func ORDER BY start_us, span_id)""",
     "run_folds": RUNS + """ SELECT task_key, func, min(span_id) AS first_ord, max(span_id) AS last_ord, count(*) AS calls, round(sum(dur_us), 4) AS total_us,
         max(CASE WHEN i = n // 2 THEN dur_us END) AS median_us, max(dur_us) AS max_us

@@ -418,7 +418,7 @@ def path_stats(s, d):
 
 @query
 def contributors(s, d):
-    c = tree_explained(s, d)[1].where("rank = 1")
+    c = tree_explained(s, d)[1]
     return c.select("trace_id", "span_id", "kind", F.array_join("rel_path", "/").alias("path"), F.round("part_us", 3).alias("part_us"), "calls")
 
 

@@ -19,7 +19,6 @@ MIN_PEERS = 8
 EXCESS_LO_US, EXCESS_HI_US, EXCESS_SHARE = 10.0, 50.0, 1e-5
 RARE_PRESENCE = 0.05
 BLAME_SHARE = 0.6
-MAX_CONTRIBUTORS = 8
 HIST_BUCKETS = 40
 
 #: parent id stored in ordered windows for roots (tables keep NULL)
