@@ -92,10 +92,11 @@ def under_roots(st: DataFrame, roots: DataFrame) -> DataFrame:
     r = st.join(roots.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi").select(
         "trace_id", F.col("span_id").alias("root_id"), F.col("func").alias("root_func"), F.col("irq_ctx").alias("root_ctx"))
     funcs = r.select("trace_id", "root_func").distinct()
-    x = st.select("*", F.posexplode(F.arrays_zip("path", "func_path")).alias("pos", "_a"))
-    x = x.withColumns({"root_id": F.col("_a.path"), "root_func": F.col("_a.func_path")}).drop("_a")
-    return x.join(funcs, ["trace_id", "root_func"], "left_semi").join(
-        r.drop("root_func"), ["trace_id", "root_id"])
+    # ids alone meet: what else a call carries joins once its ancestors are known to be wanted
+    x = st.select("trace_id", "span_id", F.posexplode(F.arrays_zip("path", "func_path")).alias("pos", "_a"))
+    x = x.select("trace_id", "span_id", "pos", F.col("_a.path").alias("root_id"), F.col("_a.func_path").alias("root_func"))
+    ids = x.join(funcs, ["trace_id", "root_func"], "left_semi").join(r.drop("root_func"), ["trace_id", "root_id"])
+    return st.join(ids, ["trace_id", "span_id"])
 
 
 def profile(st: DataFrame, members: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -131,7 +131,7 @@ ORACLES: dict[str, str] = {
     "irq_time": _tree("SELECT trace_id, span_id, irq_us FROM st WHERE irq_us > 0"),
     "self_time": _tree("SELECT trace_id, span_id, self_us FROM st"),
     "time_split": _tree("""SELECT trace_id, span_id, self_us * k AS self_part, greatest(0, dur_us - self_us - irq_us) AS children_part, 0.0::DOUBLE AS off_part, irq_us * k AS irq_part
-        FROM (SELECT *, CASE WHEN self_us + irq_us > dur_us THEN dur_us / (self_us + irq_us) ELSE 1 END AS k FROM st WHERE depth < 2)"""),
+        FROM (SELECT *, CASE WHEN self_us + irq_us > dur_us THEN dur_us / (self_us + irq_us) ELSE 1 END AS k FROM st)"""),
     "func_stats": _tree("""SELECT fs.trace_id, fs.func, "count", timed, round(total_us, 4) AS total_us, round(self_us, 4) AS self_us, min_us, max_us, round(p50, 4) AS p50, p90, p99, x.max_span
         FROM fs JOIN (SELECT trace_id, func, arg_max(span_id, dur_us * 1e15 - span_id / 1e3) AS max_span FROM
           (SELECT trace_id, func, span_id, dur_us FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, func ORDER BY dur_us DESC, span_id) AS k FROM tree) WHERE k = 1) GROUP BY ALL) x USING (trace_id, func)"""),
@@ -214,7 +214,7 @@ ORACLES: dict[str, str] = {
     "search_calls": _tree("SELECT trace_id, span_id, func FROM tree WHERE contains(lower(func), 'urgent')"),
     "search_regex": _tree("SELECT trace_id, count(DISTINCT func) AS functions, count(*) AS calls FROM tree WHERE regexp_matches(func, '^item_.F$', 'i') GROUP BY 1"),
     "span_end": _tree(""", x AS (SELECT *, CASE WHEN span_id % 10 <> 3 THEN dur_us END AS d2 FROM tree)
-        SELECT trace_id, span_id, round(coalesce(start_us + d2, t1), 4) AS end_us FROM (SELECT *, max(start_us + coalesce(d2, 0)) OVER (PARTITION BY trace_id, task_key) AS t1 FROM x) WHERE depth = 1"""),
+        SELECT trace_id, span_id, round(coalesce(start_us + d2, t1), 4) AS end_us FROM (SELECT *, max(start_us + coalesce(d2, 0)) OVER (PARTITION BY trace_id, task_key) AS t1 FROM x)"""),
     "time_range": _tree("SELECT trace_id, span_id, depth FROM tree WHERE start_us + dur_us >= 1000 AND start_us <= 5000"),
     "visible_depth": _tree("SELECT trace_id, task_key, max(depth) AS visible_depth FROM tree WHERE start_us + dur_us >= 1000 AND start_us <= 5000 GROUP BY ALL"),
     "flag_words": OUT + """ SELECT * FROM (SELECT t.trace_id, t.span_id, concat_ws(', ', CASE WHEN flags >= 8 THEN 'interrupt' END, CASE WHEN t.span_id % 11 = 0 THEN 'never returned' END,
@@ -222,7 +222,7 @@ ORACLES: dict[str, str] = {
     "ancestors": _tree("""SELECT trace_id, span_id, 0 AS level, p0 AS ancestor_id, f0 AS ancestor_func FROM tree WHERE depth > 0
         UNION ALL SELECT trace_id, span_id, 1, p1, f1 FROM tree WHERE depth = 2"""),
     "subtree": _tree("""SELECT s.trace_id, r.span_id AS root_id, s.span_id, s.depth - 1 AS row, s.start_us - r.start_us AS x0_us, least(s.start_us + s.dur_us, r.start_us + r.dur_us) - r.start_us AS x1_us
-        FROM st r JOIN tree s ON s.trace_id = r.trace_id AND s.p1 = r.span_id WHERE r.depth = 1 AND r.kids > 5"""),
+        FROM st r JOIN tree s ON s.trace_id = r.trace_id AND s.p1 = r.span_id WHERE r.depth = 1"""),
     "has_pattern": _tree("""SELECT DISTINCT trace_id, a AS span_id FROM (SELECT trace_id, unnest([p0, p1, span_id]) AS a FROM tree WHERE starts_with(func, 'item_A'))"""),
     "nested_anti": _tree(""", b AS (SELECT * FROM tree WHERE dur_us > 40)
         SELECT trace_id, span_id FROM b WHERE NOT EXISTS (SELECT 1 FROM b a WHERE a.trace_id = b.trace_id AND a.depth < b.depth AND a.span_id IN (b.p0, b.p1))"""),

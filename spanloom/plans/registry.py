@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.categories import CATEGORIES, categorize
+from ..functions.categories import categorize
 from ..functions.words import errno_table
 from ..operators import explain as X
 from ..operators import outliers as O
@@ -247,7 +247,7 @@ def self_time(s, d):
 
 @query
 def time_split(s, d):
-    t = times.time_split(tree_times(s, d).where("depth < 2"))
+    t = times.time_split(tree_times(s, d))
     return t.select("trace_id", "span_id", r4("self_part").alias("self_part"), r4("children_part").alias("children_part"), r4("off_part").alias("off_part"),
                     r4("irq_part").alias("irq_part"))
 
@@ -316,7 +316,7 @@ def category_shares(s, d):
 @query
 def function_categories(s, d):
     f = categorize(flat(s, d).unionByName(tree(s, d)))
-    return f.where(F.col("category").isin(CATEGORIES)).select("func", "category")
+    return f.select("func", "category")
 
 
 @query
@@ -500,7 +500,7 @@ def search_regex(s, d):
 @query
 def span_end(s, d):
     t = tree(s, d).withColumn("dur_us", F.when(F.col("span_id") % 10 != 3, F.col("dur_us")))
-    return search.span_end(t.where("depth = 1"), make_tracks(t)).select("trace_id", "span_id", r4("end_us").alias("end_us"))
+    return search.span_end(t, make_tracks(t)).select("trace_id", "span_id", r4("end_us").alias("end_us"))
 
 
 @query
@@ -531,7 +531,7 @@ def ancestors(s, d):
 @query
 def subtree(s, d):
     t = tree_times(s, d)
-    x = stats.subtree(t, t.where("depth = 1 and n_children > 5").select("trace_id", "span_id"))
+    x = stats.subtree(t, t.where("depth = 1").select("trace_id", "span_id"))
     return x.select("trace_id", "root_id", "span_id", "row", r4("x0_us").alias("x0_us"), r4("x1_us").alias("x1_us"))
 
 

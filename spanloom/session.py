@@ -55,8 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The plan runs once, its lineage ends, lost executors lose nothing, and later
-    readers get column pruning and real sizes for join planning.
+    readers get column pruning and real sizes for join planning. The tables of one application lie in
+    one folder below, which may be deleted when the application has ended.
     """
-    path = f"{scratch_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/spanloom-{spark.conf.get('spark.app.id', 'local')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

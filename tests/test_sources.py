@@ -67,12 +67,27 @@ def test_order_stats_exact(spark):
     assert (r["n"], r["mid"], r["top"], r["low"]) == (1001, s[500], s[-1], s[0])
 
 
-@pytest.mark.parametrize("name,cat", [
-    ("__x64_sys_read", "entry"), ("kvm_steal_clock", "irq"), ("irq_exit_rcu", "irq"), ("__fput", "fs"), ("dput.part.0", "fs"), ("current_time", "fs"),
-    ("submit_bio", "block"), ("I_BDEV", "block"), ("tcp_sendmsg", "net"), ("__skb_clone", "net"), ("__zap_vma_range", "mm"), ("free_swap_cache", "mm"),
-    ("_raw_spin_lock", "sync"), ("up_read", "sync"), ("psi_task_change", "sched"), ("io_schedule", "sched"), ("security_inode_permission", "other")])
-def test_categories(spark, name, cat):
-    assert spark.range(1).select(category(F.lit(name))).first()[0] == cat
+# fixed values: names and their subsystems
+SUBSYSTEMS = {
+    "entry": "__x64_sys_read x64_sys_call do_syscall_64 trace_syscall_enter task_work_run exit_to_user_mode_loop",
+    "irq": "kvm_steal_clock sched_clock_cpu ktime_get hrtimer_interrupt tick_sched_timer __sysvec_apic_timer_interrupt irq_exit_rcu",
+    "fs": "__fput filp_close mntput dput.part.0 vfs_read current_time locks_remove_posix",
+    "block": "submit_bio blk_mq_submit_bio virtqueue_add_sgs I_BDEV blkdev_read_iter",
+    "net": "tcp_sendmsg __skb_clone",
+    "mm": "__zap_vma_range folio_remove_rmap_ptes __tlb_remove_folio_pages obj_cgroup_charge filemap_read free_swap_cache set_pte_range",
+    "sync": "_raw_spin_lock mutex_unlock __rcu_read_lock up_read down_write",
+    "sched": "psi_task_change __schedule io_schedule",
+    "other": "security_inode_permission bpf_lsm_file_permission",
+}
+
+
+def test_categories(spark):
+    want = {n: c for c, names in SUBSYSTEMS.items() for n in names.split()}
+    assert len(want) == 44
+    got = spark.createDataFrame([(n,) for n in want], "func string").select("func", category(F.col("func")).alias("c")).collect()
+    assert {r.func: r.c for r in got} == want
+    own = spark.createDataFrame([("a_b",)], "func string").select(category(F.col("func"), [("net", "^a"), ("fs", "b$")])).first()[0]
+    assert own == "net"
 
 
 def test_words_and_errno(spark):
