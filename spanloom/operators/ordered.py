@@ -114,6 +114,24 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     return res.withColumns(done).drop(*[f"_c{i}" for i in range(len(specs))])
 
 
+# ---- points in intervals ----------------------------------------------------
+
+def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, lo: str, hi: str) -> DataFrame:
+    """Pairs of a point and an interval that holds it (ends included), with the columns of both.
+
+    An interval lies on slots as wide as its own length rounded up to a power of two, so on two at most; a point
+    looks at one slot of every width in use for its key. One long interval widens no other's slots.
+    """
+    wide = F.greatest(F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(1.0)))), F.lit(0)).cast("int")
+    slot = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_lv"))).cast("bigint")
+    iv = intervals.where(F.col(hi) >= F.col(lo)).withColumn("_lv", wide)
+    used = iv.groupBy(*keys).agg(F.array_distinct(F.collect_set("_lv")).alias("_lvs"))
+    iv = iv.withColumn("_slot", F.explode(F.array_distinct(F.array(slot(F.col(lo)), slot(F.col(hi))))))
+    pt = points.join(used, keys).withColumn("_lv", F.explode("_lvs")).drop("_lvs")
+    pt = pt.withColumn("_slot", slot(F.col(at)))
+    return pt.join(iv, [*keys, "_lv", "_slot"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("_lv", "_slot")
+
+
 # ---- exact order statistics -------------------------------------------------
 
 def value_bucket(v: Column, steps: int = 256) -> Column:

@@ -104,20 +104,15 @@ def track_order(tracks: DataFrame) -> DataFrame:
 def raw_lines(spans: DataFrame, lines: DataFrame, targets: DataFrame, head: int = 200, tail: int = 20) -> DataFrame:
     """Text lines of target calls: the first ``head`` and last ``tail``, with the number left out between.
 
-    A line belongs to a call by number, so call ranges are cut to the slices of 4 096
-    lines they need (head and tail only) and joined on (trace, slice).
+    The numbers wanted, ``head + tail`` at most per call, are written out and joined on (trace, line number).
     """
     t = (spans.join(targets.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi")
-         .select("trace_id", "span_id", "line_no", F.coalesce("close_line", "line_no").alias("_z")))
-    t = t.withColumn("n_lines", F.col("_z") - F.col("line_no") + 1)
-    whole = F.col("n_lines") <= head + tail
-    a_end = F.when(whole, F.col("_z")).otherwise(F.col("line_no") + head - 1)
-    parts = F.when(whole, F.array(F.struct(F.col("line_no").alias("a"), a_end.alias("b")))).otherwise(F.array(
-        F.struct(F.col("line_no").alias("a"), a_end.alias("b")), F.struct((F.col("_z") - tail + 1).alias("a"), F.col("_z").alias("b"))))
-    t = t.select("trace_id", "span_id", "n_lines", F.col("line_no").alias("_first"), F.col("_z").alias("_last"), F.explode(parts).alias("p"))
-    t = t.withColumn("_slice", F.explode(F.sequence(F.shiftright("p.a", 12), F.shiftright("p.b", 12))))
-    j = t.join(lines.select("trace_id", "line_no", "value").withColumn("_slice", F.shiftright("line_no", 12)), ["trace_id", "_slice"])
-    j = j.where(F.col("line_no").between(F.col("p.a"), F.col("p.b")))
+         .select("trace_id", "span_id", F.col("line_no").alias("_first"), F.coalesce("close_line", "line_no").alias("_last")))
+    t = t.withColumn("n_lines", F.col("_last") - F.col("_first") + 1)
+    span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    top = span(F.col("_first"), F.least(F.col("_last"), F.col("_first") + head - 1))
+    rest = span(F.greatest(F.col("_first") + head, F.col("_last") - tail + 1), F.col("_last"))
+    j = t.withColumn("line_no", F.explode(F.concat(top, rest))).join(lines.select("trace_id", "line_no", "value"), ["trace_id", "line_no"])
     mark = F.when(F.col("line_no") == F.col("_first"), "entry").when(F.col("line_no") == F.col("_last"), "close")
     return j.select("trace_id", "span_id", "line_no", "value", mark.alias("mark"),
                     F.greatest(F.lit(0), F.col("n_lines") - head - tail).alias("left_out"))

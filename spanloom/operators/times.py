@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import cut
-from .ordered import running, with_value_chunk
+from .ordered import running, stab, with_value_chunk
 
 # --- fixed value: interrupt entries recognised by name in the analysis --------
 RE_IRQ_NAME = (r"^(__)?sysvec_|^asm_sysvec|^(__)?common_interrupt$|^asm_common_interrupt|^do_IRQ$"
@@ -177,17 +177,14 @@ def off_where(st: DataFrame, switches: DataFrame, targets: DataFrame) -> DataFra
 def off_stretches(intervals: DataFrame, windows: DataFrame) -> DataFrame:
     """Off-CPU stretches of a task clipped to windows (trace_id, span_id, task_key, t0_us, t1_us), relative to t0_us.
 
-    Interval and window meet in the time slices they share, so the band join is an
-    equi-join on (trace, task, slice). Slices are as wide as the widest window.
+    They overlap where one begins inside the other: two joins of points with intervals, whose slices follow each
+    interval's own length.
     """
-    size = windows.groupBy("trace_id").agg(F.greatest(F.max(F.col("t1_us") - F.col("t0_us")), F.lit(1.0)).alias("_w"),
-                                           F.min("t0_us").alias("_lo"), F.max("t1_us").alias("_hi"))
-    slot = lambda c: F.floor((c - F.col("_lo")) / F.col("_w")).cast("bigint")
-    w = windows.join(size, "trace_id").withColumn("_slot", F.explode(F.sequence(slot(F.col("t0_us")), slot(F.col("t1_us")))))
-    iv = intervals.join(size, "trace_id").withColumn("on2", F.coalesce("on_us", "_hi")).where(
-        (F.col("off_us") < F.col("_hi")) & (F.col("on2") >= F.col("_lo")))
-    iv = iv.withColumn("_slot", F.explode(F.sequence(slot(F.greatest("off_us", "_lo")), slot(F.least("on2", "_hi")))))
-    j = w.drop("_w", "_lo", "_hi").join(iv.drop("_w", "_lo", "_hi"), ["trace_id", "task_key", "_slot"])
+    last = windows.groupBy("trace_id").agg(F.max("t1_us").alias("_hi"))
+    iv = intervals.join(last, "trace_id").select("trace_id", "task_key", "off_us", F.coalesce("on_us", "_hi").alias("on2")).where("on2 > off_us")
+    w = windows.select("trace_id", "task_key", "span_id", "t0_us", "t1_us")
+    keys = ["trace_id", "task_key"]
+    j = stab(w, iv, keys, "t0_us", "off_us", "on2").unionByName(stab(iv, w, keys, "off_us", "t0_us", "t1_us"))
     a, b = F.greatest("off_us", "t0_us"), F.least("on2", "t1_us")
     return j.where(b > a).select("trace_id", "span_id", (a - F.col("t0_us")).alias("rel_off_us"),
                                  (b - F.col("t0_us")).alias("rel_on_us")).distinct()
