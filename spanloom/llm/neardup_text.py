@@ -168,17 +168,21 @@ def sequences_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> Dat
 
 
 def visit(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between the components of entries. ``now``: h1, n, t, s, c.
+    """Links (a, b) between the components of entries. ``now``: h1, n, held, t, s, c.
 
     A document visits the larger components it shares an entry with, as a whole: their members lie in blocks, and a visitor is
     compared with a block at once, so pairs are never rows.
     """
     people = now.select("h1", "c").distinct()
     size = people.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
-    own = now.select("h1", "t", "s", "c").join(size, "c").alias("x")
-    at = now.select("t", "s", "c").distinct().join(size, "c").alias("y")
+    # a pair aligns r (n1 + n2) shingles at least, and no more than either holds in common with others
+    r = F.lit(least / (1 + least))
+    spare = F.col("held") - r * F.col("n") + F.lit(1e-9)
+    own = now.select("h1", "t", "s", "c", "n", spare.alias("spare")).join(size, "c").alias("x")
+    at = now.groupBy("t", "s", "c").agg(F.min("n").alias("n"), F.max(spare).alias("spare")).join(size, "c").alias("y")
     larger = (F.col("y.k") > F.col("x.k")) | ((F.col("y.k") == F.col("x.k")) & (F.col("y.c") < F.col("x.c")))
-    goes = own.join(at, ["t", "s"]).where(larger).select(F.col("x.h1").alias("h1"), F.col("y.c").alias("c")).distinct()
+    reach = (F.col("x.spare") >= r * F.col("y.n")) & (F.col("y.spare") >= r * F.col("x.n"))
+    goes = cut(own.join(at, ["t", "s"]).where(larger & reach).select(F.col("x.h1").alias("h1"), F.col("y.c").alias("c")).distinct())
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
     guests = goes.join(size, "c").select("c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("g"), "h1", F.lit(True).alias("guest"))
     hosts = people.join(size, "c").join(goes.select("c").distinct(), "c", "left_semi").select("c", F.pmod(F.xxhash64("h1"), blocks).cast("int").alias("g"), "h1", F.lit(False).alias("guest"))
