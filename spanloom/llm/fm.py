@@ -37,12 +37,19 @@ def suffix_order(seq: np.ndarray) -> np.ndarray:
 class Wavelet:
     """Wavelet tree over a symbol array, one packed bit row per level (high bit first), with block counts."""
 
-    def __init__(self, seq: np.ndarray, n_symbols: int):
+    def __init__(self, seq: np.ndarray, n_symbols: int, counted: bool = False):
+        """``counted`` keeps a count per place instead of packed bits: larger, and faster to ask."""
         self.n, self.bits = len(seq), max(1, int(n_symbols).bit_length())
         self.words, self.before, self.zeros = [], [], []
+        self.counts: list[np.ndarray] = []
         now = seq
         for level in range(self.bits - 1, -1, -1):
             bit = ((now >> level) & 1).astype(np.uint8)
+            if counted:
+                self.counts.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int32))).astype(np.int32))
+                self.zeros.append(self.n - int(self.counts[-1][-1]))
+                now = np.concatenate((now[bit == 0], now[bit == 1]))
+                continue
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate((packed, np.zeros(16 - len(packed) % 8, np.uint8))).view(np.uint64)
             self.words.append(packed)
@@ -53,6 +60,8 @@ class Wavelet:
 
     def ones(self, level: int, i: np.ndarray) -> np.ndarray:
         """Set bits before place i of a level."""
+        if self.counts:
+            return self.counts[level][i]
         block = i >> 6
         part = self.words[level][block] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
         return self.before[level][block].astype(np.int64) + np.bitwise_count(part)

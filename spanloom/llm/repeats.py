@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from .base import byte_values, cut, mix64, not_space, pieces, powers, prefix_hash, word_hashes, word_spans, BASE_INV
 
 #: text per document group and per shard, and the fewest of both
-GROUP_BYTES = 4 << 20
-FEWEST = 48
+GROUP_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+FEWEST = 24
 #: windows of one stretch; a longer one is cut
 LONGEST = 256
 NULL_ID = -(1 << 63)
@@ -110,7 +111,7 @@ def runs(plan: Plan, value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 def tags(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A short hash of each row's items, which tells apart rows of one id."""
     h = prefix_hash(value)
-    return (mix64((h[bounds[1:]] - h[bounds[:-1]]) * powers(BASE_INV, len(h))[bounds[:-1]]) >> np.uint64(32)).astype(np.uint32)
+    return (mix64((h[bounds[1:]] - h[bounds[:-1]]) * powers(BASE_INV, len(h))[bounds[:-1]]) >> np.uint64(48)).astype(np.uint16)
 
 
 def ids_of(col: pa.Array) -> np.ndarray:
@@ -157,8 +158,11 @@ def short(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def marks(docs: DataFrame, plan: Plan, shards: int, groups: int) -> DataFrame:
-    """(g, id, tag, nth): per document group, the stretches whose least gram occurs more than once, as packed arrays."""
-    names = ["s", "id", "tag", "nth", "h"]
+    """(g, mid, nth): per document group, the stretches whose least gram occurs more than once, as packed arrays.
+
+    Rows of one id are not told apart here: a mark holds for all of them, and one too many does no harm.
+    """
+    names = ["s", "id", "nth", "h"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +172,6 @@ def marks(docs: DataFrame, plan: Plan, shards: int, groups: int) -> DataFrame:
                 key, _, _, row = runs(plan, value, bounds)
                 if not len(key):
                     continue
-                tag = tags(value, bounds)
                 start = np.searchsorted(row, np.arange(hi - lo))
                 nth = (np.arange(len(row)) - start[row]).astype(np.uint32)
                 shard = (key % np.uint64(shards)).astype(np.int64)
@@ -179,17 +182,17 @@ def marks(docs: DataFrame, plan: Plan, shards: int, groups: int) -> DataFrame:
                 again[order[1:][same]] = again[order[:-1][same]] = True
                 one = np.ones(len(key), bool)  # the first of each hash goes to the shard
                 one[order[1:][same]] = False
-                yield pack(shard[one], [ids[lo:hi][row[one]], tag[row[one]], nth[one], h[one]], names)
+                yield pack(shard[one], [ids[lo:hi][row[one]], nth[one], h[one]], names)
                 if again.any():
                     # no hash: they come back as they are
-                    left = pack(shard[again], [ids[lo:hi][row[again]], tag[row[again]], nth[again], np.zeros((int(again.sum()), 0), np.uint8)], names)
+                    left = pack(shard[again], [ids[lo:hi][row[again]], nth[again], np.zeros((int(again.sum()), 0), np.uint8)], names)
                     yield left
 
     def find(t: pa.Table) -> pa.Table:
         h = [len(x) // 5 for x in t.column("h").to_pylist()]
         n = [len(x) // 8 for x in t.column("id").to_pylist()]
         whole = np.repeat(np.array([a == 0 for a in h]), n)
-        ids, tag, nth = unpack(t, "id", np.int64), unpack(t, "tag", np.uint32), unpack(t, "nth", np.uint32)
+        ids, nth = unpack(t, "id", np.int64), unpack(t, "nth", np.uint32)
         raw = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint8).reshape(-1, 5)
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :5] = raw
@@ -200,11 +203,11 @@ def marks(docs: DataFrame, plan: Plan, shards: int, groups: int) -> DataFrame:
         rep[order[1:][same]] = rep[order[:-1][same]] = True
         keep = whole.copy()
         keep[~whole] = rep
-        ids, tag, nth = ids[keep], tag[keep], nth[keep]
-        return pa.Table.from_batches([pack(group_of(ids, groups), [ids, tag, nth], ["g", "mid", "tag", "nth"])])
+        ids, nth = ids[keep], nth[keep]
+        return pa.Table.from_batches([pack(group_of(ids, groups), [ids, nth], ["g", "mid", "nth"])])
 
-    sent = docs.mapInArrow(send, "s bigint, id binary, tag binary, nth binary, h binary")
-    return sent.groupBy("s").applyInArrow(find, "g bigint, mid binary, tag binary, nth binary")
+    sent = docs.mapInArrow(send, "s bigint, id binary, nth binary, h binary")
+    return sent.groupBy("s").applyInArrow(find, "g bigint, mid binary, nth binary")
 
 
 def rows_of(ids: np.ndarray, tag: np.ndarray, want_id: np.ndarray, want_tag: np.ndarray) -> np.ndarray:
@@ -222,12 +225,15 @@ SEG = ["s", "id", "tag", "start", "n", "key", "len", "body"]
 
 
 def stretches(docs: DataFrame, marked: DataFrame, plan: Plan, shards: int, groups: int) -> DataFrame:
-    """Marked stretches, packed per shard: id, tag, first item, windows, hash, and the text."""
+    """Marked stretches, packed per shard: id, tag, first item, windows, part of the hash, and the text.
+
+    Half a hash is enough inside a shard: stretches that share it by chance are only looked at together.
+    """
     def cutout(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({c: pa.array([], pa.int64() if c == "s" else pa.binary()) for c in SEG})
         if not left.num_rows or not right.num_rows:
             return empty
-        mid, mtag, nth = unpack(right, "mid", np.int64), unpack(right, "tag", np.uint32), unpack(right, "nth", np.uint32)
+        mid, nth = unpack(right, "mid", np.int64), unpack(right, "nth", np.uint32).astype(np.int64)
         ids = ids_of(left.column("id").combine_chunks())
         out = []
         marked_rows = np.isin(ids, mid)
@@ -240,9 +246,10 @@ def stretches(docs: DataFrame, marked: DataFrame, plan: Plan, shards: int, group
             if not len(key):
                 continue
             tag = tags(value, bounds)
-            at = rows_of(ids[lo:hi], tag, mid, mtag)
-            start = np.searchsorted(row, np.arange(hi - lo))
-            pick = np.unique(start[at[at >= 0]] + nth[at >= 0])
+            start = np.searchsorted(row, np.arange(hi - lo + 1))
+            want, at = wanted(ids[lo:hi], mid)
+            inside = nth[want] < start[at + 1] - start[at]
+            pick = np.unique((start[at] + nth[want])[inside])
             key, first, n_win, row = key[pick], first[pick], n_win[pick], row[pick]
             b0, b1 = begin[first], end[first + n_win + plan.size - 2]
             body = data.tobytes()
@@ -265,9 +272,9 @@ def stretches(docs: DataFrame, marked: DataFrame, plan: Plan, shards: int, group
             for c, x in (("id", did), ("tag", tag), ("start", start), ("n", n_win)):
                 cols[c].append(x[a:b].tobytes())
             _, where = np.unique(ref, return_index=True)
-            cols["key"].append(key[a:b][where].tobytes() + ref.tobytes())
+            cols["key"].append((key[a:b][where] >> np.uint64(32)).astype(np.uint32).tobytes() + ref.tobytes())
             cols["len"].append(np.array([len(x) for x in bodies], np.uint32).tobytes())
-            cols["body"].append(zlib.compress(b"".join(bodies), 1))
+            cols["body"].append(zlib.compress(b"".join(bodies), 4))
         return pa.table({c: pa.array(v, pa.int64() if c == "s" else pa.binary()) for c, v in cols.items()})
 
     both = dealt(docs, plan, groups).groupBy("g").cogroup(marked.groupBy("g"))
@@ -281,14 +288,14 @@ Method = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 def judge(segments: DataFrame, plan: Plan, groups: int, method: Method) -> DataFrame:
     """(g, id, tag, start, n): packed stretches of repeated windows, first item and number of windows."""
     def find(t: pa.Table) -> pa.Table:
-        did, tag = unpack(t, "id", np.int64), unpack(t, "tag", np.uint32)
+        did, tag = unpack(t, "id", np.int64), unpack(t, "tag", np.uint16)
         start, n_win = unpack(t, "start", np.uint32).astype(np.int64), unpack(t, "n", np.uint16).astype(np.int64)
         number: dict[bytes, int] = {}
         seg, keys, bodies = [], [], []
         for k, ls, z in zip(*(t.column(c).to_pylist() for c in ("key", "len", "body"))):
             size = np.frombuffer(ls, np.uint32)
-            key = np.frombuffer(k[:8 * len(size)], np.uint64)
-            ref = np.frombuffer(k[8 * len(size):], np.uint32)
+            key = np.frombuffer(k[:4 * len(size)], np.uint32)
+            ref = np.frombuffer(k[4 * len(size):], np.uint32)
             text = zlib.decompress(z)
             ends = np.cumsum(size).tolist()
             of = np.empty(len(size), np.int64)
@@ -308,7 +315,7 @@ def judge(segments: DataFrame, plan: Plan, groups: int, method: Method) -> DataF
         np.minimum.at(least, seg, base)
         windows = np.zeros(len(bodies), np.int64)
         windows[seg] = n_win
-        key = np.array(keys, np.uint64)
+        key = np.array(keys, np.uint32)
         _, of, many = np.unique(key, return_inverse=True, return_counts=True)
         unlike = np.flatnonzero(many[of] > 1)
         # an occurrence after the first of its body is all repeats
@@ -332,7 +339,7 @@ def judge(segments: DataFrame, plan: Plan, groups: int, method: Method) -> DataF
             o = firsts[np.arange(len(r)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[r]]
             out.append((did[o], tag[o], start[o] + off[r], n[r]))
         ids, tag, at, n = (np.concatenate(x) for x in zip(*out))
-        return pa.Table.from_batches([pack(group_of(ids, groups), [ids, tag.astype(np.uint32), at.astype(np.uint32), n.astype(np.uint16)], ["g", "mid", "tag", "start", "n"])])
+        return pa.Table.from_batches([pack(group_of(ids, groups), [ids, tag.astype(np.uint16), at.astype(np.uint32), n.astype(np.uint16)], ["g", "mid", "tag", "start", "n"])])
 
     return segments.groupBy("s").applyInArrow(find, "g bigint, mid binary, tag binary, start binary, n binary")
 
@@ -351,7 +358,7 @@ def finish(docs: DataFrame, spans: DataFrame, plan: Plan, groups: int, schema: s
         ids = ids_of(ids_col)
         some = right.num_rows > 0
         if some:
-            mid, mtag = unpack(right, "mid", np.int64), unpack(right, "tag", np.uint32)
+            mid, mtag = unpack(right, "mid", np.int64), unpack(right, "tag", np.uint16)
             start, n = unpack(right, "start", np.uint32).astype(np.int64), unpack(right, "n", np.uint16).astype(np.int64)
         for lo, hi, data, off in pieces(left.column("text").combine_chunks(), plan.piece):
             value, bounds, begin, end = itemize(plan, data, off)
@@ -375,6 +382,15 @@ def finish(docs: DataFrame, spans: DataFrame, plan: Plan, groups: int, schema: s
     return both.applyInArrow(make, f"id bigint, {schema}")
 
 
+def wanted(ids: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of a wanted id and a row with that id: (number of the want, row)."""
+    order = np.argsort(ids, kind="stable")
+    s = ids[order]
+    lo, hi = np.searchsorted(s, mid, "left"), np.searchsorted(s, mid, "right")
+    w = np.repeat(np.arange(len(mid)), hi - lo)
+    return w, order[np.arange(len(w)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[w]]
+
+
 def equal_rows(alike: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For wanted rows ``at``, every row equal to each of them: (number of the want, row)."""
     order = np.argsort(alike, kind="stable")
@@ -388,7 +404,7 @@ def remove(docs: DataFrame, plan: Plan, method: Method, schema: str, types: list
     """All steps over ``docs``; one row per document."""
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(FEWEST, -(-total // GROUP_BYTES))
-    marked = cut(marks(rows, plan, parts, parts))
-    spans = cut(judge(stretches(rows, marked, plan, parts, parts), plan, parts, method))
-    return finish(rows, spans, plan, parts, schema, types, result)
+    groups, shards = (max(FEWEST, -(-total // x)) for x in (GROUP_BYTES, SHARD_BYTES))
+    marked = cut(marks(rows, plan, shards, groups))
+    spans = cut(judge(stretches(rows, marked, plan, shards, groups), plan, groups, method))
+    return finish(rows, spans, plan, groups, schema, types, result)

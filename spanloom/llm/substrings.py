@@ -22,7 +22,7 @@ from .fm import Wavelet
 from .repeats import Plan, remove
 
 LENGTH = 50
-PLAN = Plan(items="bytes", size=LENGTH, gram=16, within=False)
+PLAN = Plan(items="bytes", size=LENGTH, gram=20, within=False)
 
 
 def bounded_order(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -36,6 +36,8 @@ def bounded_order(seq: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | c
         live &= c > 0
     h = 8
+    gap = np.where(seq == 0, np.arange(n), n)
+    ahead = np.minimum.accumulate(gap[::-1])[::-1] - np.arange(n)  # symbols before the next separator
     while True:
         order = np.argsort(key)
         s = key[order]
@@ -47,10 +49,7 @@ def bounded_order(seq: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = new
         tail = np.zeros(n, np.int64)
         tail[:n - h] = rank[h:] + 1
-        # a prefix that met a separator is not compared further
-        gap = np.flatnonzero(seq == 0)
-        ahead = gap[np.searchsorted(gap, np.arange(n))] - np.arange(n) if len(gap) else np.full(n, n)
-        tail[ahead < h] = 0
+        tail[ahead < h] = 0  # a prefix that met a separator is not compared further
         key = ((rank.astype(np.uint64) + np.uint64(1)) << np.uint64(32)) | tail.astype(np.uint64)
         h *= 2
 
@@ -69,25 +68,25 @@ def common_prefix_breaks(tree: Wavelet, first: np.ndarray, n: int, n_symbols: in
     broken[:first[1] + 1] = True
     broken[hi] = True
     broken[lo] = True
+    shift = (first[:-1] - tree.start).astype(np.int32)
+    lo, hi = lo.astype(np.int32), hi.astype(np.int32)
     for _ in range(1, depth):
         if not len(lo):
             break
         lo, hi, c = split(tree, lo, hi)
-        keep = c > 0
-        lo, hi, c = lo[keep], hi[keep], c[keep]
-        base = first[c] - tree.start[c]
+        base = shift[c]
         lo, hi = base + lo, base + hi
         # an interval is needed while its right or left end is new; the rest was reached by a shorter prefix
-        fresh = ~broken[hi] | ~broken[lo]
+        fresh = (~broken[hi] | ~broken[lo]) & (c > 0)
+        lo, hi = lo[fresh], hi[fresh]
         broken[hi] = True
         broken[lo] = True
-        lo, hi = lo[fresh], hi[fresh]
     return broken
 
 
 def split(tree: Wavelet, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols inside the ranges of the transform: for each (places after the last level, symbol)."""
-    c = np.zeros(len(lo), np.int64)
+    c = np.zeros(len(lo), np.int32)
     for k in range(tree.bits):
         a, b = tree.ones(k, lo), tree.ones(k, hi)
         zero_lo, zero_hi = lo - a, hi - b
@@ -113,7 +112,7 @@ def first_holders(bodies: list[bytes], base: np.ndarray, windows: np.ndarray, de
     seq = to[raw]
     seq[gap] = 0
     order = bounded_order(seq, depth)
-    tree = Wavelet(seq[order - 1], len(used))
+    tree = Wavelet(seq[order - 1], len(used), counted=True)
     first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=len(used) + 1)))).astype(np.int64)
     broken = common_prefix_breaks(tree, first, len(seq), len(used), depth)
     heads = np.flatnonzero(broken[:-1])
