@@ -16,7 +16,7 @@ from ..session import cut
 __all__ = ["append", "cut", "mix64", "pieces", "put_back", "set_aside", "table", "utf8", "word_hashes", "word_spans"]
 
 #: text handled at once inside a task; temporaries are a small multiple of it (one longer text is handled alone)
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

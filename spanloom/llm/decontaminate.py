@@ -26,7 +26,7 @@ from .fm import FMIndex, expand
 WINDOW = 13
 #: benchmark text whose windows one pass holds in each task
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 

@@ -163,7 +163,7 @@ def sequences_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> Dat
                                                   pa.array([sh[p:q].tobytes() for p, q in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["rep", "h1", "sh"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("t"))
-    picked = rows.join(wanted.select("rep").distinct(), "rep", "left_semi")
+    picked = rows.join(wanted.select("rep").distinct().hint("merge"), "rep", "left_semi")
     return picked.mapInArrow(make, "rep bigint, h1 bigint, sh binary").join(wanted, ["rep", "h1"], "left_semi").dropDuplicates(["h1"]).select("h1", "sh")
 
 
@@ -310,7 +310,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     many = first.groupBy("class_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("class_id")
     twice = cut(first.join(many, "class_id").distinct())
     own, names = set_aside(docs)
-    rows = word_key(own.withColumn("id", F.col(names[key]).cast("bigint")), names[text], "h1").join(gone, ["id", "h1"], "left_anti")
+    rows = word_key(own.withColumn("id", F.col(names[key]).cast("bigint")), names[text], "h1").join(
+        gone.hint("merge"), ["id", "h1"], "left_anti")  # the same plan at every size
     if twice.limit(1).count():  # rows that repeat an id of a class: rare, and only they are compared
         rows = rows.join(twice.select("id", "h1"), ["id", "h1"], "left_anti").select(*names.values()).unionByName(
             rows.join(twice, ["id", "h1"]).dropDuplicates(["class_id"]).select(*names.values()))

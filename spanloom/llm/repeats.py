@@ -46,7 +46,7 @@ class Plan:
     size: int
     gram: int
     within: bool
-    piece: int = 1 << 21
+    piece: int = 1 << 20
 
 
 def itemize(plan: Plan, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
