@@ -334,8 +334,11 @@ def by_tags(path: tuple[str, ...]) -> float | None:
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE_PAGES) -> Labeller:
     """Train on a bounded sample of ``pages`` and on made-up layouts of its text."""
-    rows = pages.select(F.col(html).alias("h"), F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("k")).where("h is not null")
-    got = [r.h for r in rows.orderBy("k", F.length("h")).limit(sample).collect()]
+    rows = pages.select(F.col(html).alias("h"), F.xxhash64(F.col(key).cast("string"), html, F.lit("sample")).alias("k")).where("h is not null")
+    # about ``sample`` pages by hash; repeated rows share one hash and count once
+    share = sample / max(1, pages.count())
+    some = rows if share >= 1 else rows.where(F.pmod("k", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    got = [r.h for r in sorted(some.dropDuplicates(["k"]).collect(), key=lambda r: r.k)]
     rng, known, cache = random.Random(3), [], {}
     texts = []
     for h in got:
