@@ -140,15 +140,20 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, plan: Plan, groups: int) -> DataFrame:
-    """(g, id, text): documents with their group."""
+    """(g, id, text): documents with their group; texts travel deflated, null as empty."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(group_of(ids_of(b.column(0)), groups)), b.column(0), b.column(1)], names=["g", "id", "text"])
+            ids, packed = ids_of(b.column(0)), []
+            for _, _, data, off in pieces(b.column(1)):
+                raw = data.tobytes()
+                packed += [zlib.compress(raw[x:y], 1) for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(ids, groups)), b.column(0), pa.array(packed, pa.binary())], names=["g", "id", "text"])
 
-    return docs.select("id", "text").mapInArrow(add, "g bigint, id bigint, text string")
+    return docs.select("id", "text").mapInArrow(add, "g bigint, id bigint, text binary")
 
 
-HASH = np.dtype("V5")
+def inflated(col: pa.Array) -> pa.Array:
+    return pa.array([zlib.decompress(x) for x in col.to_pylist()], pa.large_binary())
 
 
 def short(key: np.ndarray, shards: int) -> np.ndarray:
@@ -238,7 +243,7 @@ def stretches(docs: DataFrame, marked: DataFrame, plan: Plan, shards: int, group
         out = []
         marked_rows = np.isin(ids, mid)
         rows = np.flatnonzero(marked_rows)
-        text = left.column("text").combine_chunks().take(pa.array(rows))
+        text = inflated(left.column("text").combine_chunks().take(pa.array(rows)))
         ids = ids[rows]
         for lo, hi, data, off in pieces(text, plan.piece):
             value, bounds, begin, end = itemize(plan, data, off)
@@ -360,7 +365,7 @@ def finish(docs: DataFrame, spans: DataFrame, plan: Plan, groups: int, schema: s
         if some:
             mid, mtag = unpack(right, "mid", np.int64), unpack(right, "tag", np.uint16)
             start, n = unpack(right, "start", np.uint32).astype(np.int64), unpack(right, "n", np.uint16).astype(np.int64)
-        for lo, hi, data, off in pieces(left.column("text").combine_chunks(), plan.piece):
+        for lo, hi, data, off in pieces(inflated(left.column("text").combine_chunks()), plan.piece):
             value, bounds, begin, end = itemize(plan, data, off)
             cover = np.zeros(len(value) + 1, np.int64)
             if some:
