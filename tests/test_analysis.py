@@ -1,6 +1,6 @@
-import random
 """Analysis of a trace with known slow calls."""
 
+import random
 import re
 
 import pytest
