@@ -6,7 +6,7 @@ cell. A pair whose ends lie in different cells is not lost: a vector also visits
 within reach. With centroids a, b, a point y nearest to b and a point x nearest to a, (a-b).(x-y) >= (a-b).x, so
 |x-y| >= (a-b).x / |a-b|; a link at cosine c needs |x-y| <= sqrt(2 - 2c). Cells are compared in blocks of bounded size; each
 block product yields link counts per vector and a spanning forest of its links, never the pairs. The forests'
-components, by minimum labels and pointer jumping over tables, are the groups.
+components, by alternating stars over tables, are the groups.
 
 Exact: links are those with cosine >= ``THRESHOLD`` in double precision. Null, zero, empty and non-finite vectors and rows without an id link with
 nothing; vectors of different lengths do not link. Repeated rows are vectors of their own that link with each other; rows of one id and unlike
