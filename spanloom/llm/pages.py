@@ -18,7 +18,6 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import append, mix64, not_space, utf8, word_hashes, word_spans
+from .base import append, not_space, utf8, word_hashes, word_spans
 
 SAMPLE_PAGES = 300
 LAYOUTS = 800
