@@ -107,16 +107,21 @@ def signatures(docs: DataFrame, key: str, text: str, tables: int, kept: int) ->
     return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(make, "id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
 
 
+def needed(both: int | np.ndarray, least: float) -> np.ndarray:
+    """Shingles to align of ``both`` in two sequences for ``least`` similarity: whole ones, so that an exact share is enough."""
+    return np.ceil(least / (1 + least) * both - 1e-9).astype(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> int:
     """Length of the longest common subsequence inside the band that ``least`` similarity allows, or -1 if it can't be reached."""
-    need = least / (1 + least) * (len(a) + len(b))
+    need = int(needed(len(a) + len(b), least))
     if min(len(a), len(b)) < need:
         return -1
-    band = len(a) + len(b) - 2 * int(np.ceil(need - 1e-9))
+    band = len(a) + len(b) - 2 * need
     order = np.argsort(b, kind="stable")
     s = b[order]
     lo, hi = np.searchsorted(s, a, "left"), np.searchsorted(s, a, "right")
-    if (hi > lo).sum() < need - 1e-9:
+    if (hi > lo).sum() < need:
         return -1
     n = hi - lo
     i = np.repeat(np.arange(len(a)), n)
@@ -199,7 +204,7 @@ def visit(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
             for v in np.flatnonzero(guest):
                 mine = np.sort(sh[v])
                 hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-                enough = np.bincount(of[hit], minlength=len(host)) >= least / (1 + least) * (n + len(mine)) - 1e-9
+                enough = np.bincount(of[hit], minlength=len(host)) >= needed(n + len(mine), least)
                 for i in host[enough]:
                     if similarity(sh[v], sh[i], least) >= least:
                         a.append(ids[v])

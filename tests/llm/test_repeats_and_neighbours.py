@@ -108,6 +108,24 @@ def test_alignment_against_plain_dynamic_programming():
             assert got == pytest.approx(s) if s >= 0.8 else got < 0.8
 
 
+def test_exactly_the_least_similarity_is_enough():
+    """4k shingles wholly contained in 5k: M / (a + b - M) is 0.8 at every k."""
+    for k in range(1, 2001):
+        b = np.arange(5 * k, dtype=np.uint64)
+        for a in (b[:4 * k], b[k:]):
+            assert neardup_text.similarity(a, b, 0.8) == 0.8 == neardup_text.similarity(b, a, 0.8), k
+        assert neardup_text.similarity(b[:4 * k - 1], b, 0.8) < 0.8
+
+
+def test_texts_cut_off_at_an_end_are_linked(spark):
+    rows = []
+    for n, k in enumerate((7, 13, 26, 27, 52, 60, 103)):
+        words = [f"w{n}x{i}" for i in range(5 * k + 4)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[:4 * k + 4])), (10 * n + 2, " ".join(words[:4 * k + 3]))]
+    got = {r.doc_id: r.class_id for r in neardup_text.near_dups_query(spark.createDataFrame(rows, ID_TEXT)).collect()}
+    assert all(got[i] == i // 10 * 10 for i in got), got
+
+
 @pytest.fixture(scope="module")
 def near(spark):
     rng = random.Random(5)
