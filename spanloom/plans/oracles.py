@@ -265,4 +265,19 @@ ORACLES: dict[str, str] = {
         SELECT trace_id, span_id, 'root depth' AS rule FROM b WHERE parent_id IS NULL AND d2 <> 0
         UNION ALL SELECT c.trace_id, c.span_id, 'depth' FROM b c JOIN b p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id WHERE c.d2 <> p.d2 + 1"""),
     "slow_calls": OUT + "SELECT trace_id, func, round(dur_us, 4) AS dur_us, round(p50, 4) AS typical_us, round(dur_us - p50, 4) AS excess_us, round(dur_us / p50, 3) AS ratio FROM outl",
+    "reconstructed_clock_whole": _tree("SELECT trace_id, task_key, depth, func, round(start_us, 4) AS start_us, round(start_us + dur_us, 4) AS end_us FROM tree"),
+    "raw_lines_whole": _tree(""", c AS (SELECT 'n' || nkey AS trace_id, ckey, ' ' || (nkey % 4) || ')  cust-' || (ckey + 1) || '  |' AS head, func, dur_us, n_lines, line_no AS l FROM cust),
+        o AS (SELECT trace_id, ckey, okey, head, o.func, o.dur_us, o.n_lines, l + 1 + rel_line AS l FROM ords o JOIN c USING (ckey)),
+        k AS (SELECT trace_id, ckey, head, func, dur_us, n_lines, l, '' AS pad FROM c UNION ALL SELECT trace_id, ckey, head, func, dur_us, n_lines, l, '  ' FROM o
+          UNION ALL SELECT trace_id, ckey, head, i.func, i.dur_us, 1, l + i.ord, '    ' FROM o JOIN items i USING (okey)),
+        x AS (SELECT trace_id, ckey, l AS line_no, head || CASE WHEN n_lines > 1 THEN '               |  ' || pad || func || '() {' ELSE format('{:10.3f}', dur_us) || ' us   |  ' || pad || func || '();' END AS value FROM k
+          UNION ALL SELECT trace_id, ckey, l + n_lines - 1, head || format('{:10.3f}', dur_us) || ' us   |  ' || pad || '} /* ' || func || ' */' FROM k WHERE n_lines > 1)
+        SELECT k.trace_id, l AS span_id, line_no, value, CASE WHEN line_no = l THEN 'entry' WHEN line_no = l + n_lines - 1 THEN 'close' END AS mark, greatest(0, n_lines - 220) AS left_out
+        FROM k JOIN x ON x.ckey = k.ckey AND line_no BETWEEN l AND l + n_lines - 1 WHERE line_no < l + 200 OR line_no >= l + n_lines - 20"""),
+    "timeline_tiles_whole": _tree(""", b AS (SELECT trace_id, least(0, min(start_us)) AS t0, greatest(max(start_us + dur_us), least(0, min(start_us)) + 1e-3) AS t1 FROM tree GROUP BY 1),
+        v AS (SELECT tree.*, (start_us - t0)::DOUBLE * (200 / (t1 - t0)::DOUBLE) AS x0, (start_us + dur_us - t0)::DOUBLE * (200 / (t1 - t0)::DOUBLE) AS x1 FROM tree JOIN b USING (trace_id))
+        SELECT trace_id, task_key, depth, 'box' AS kind, span_id AS lead_span, 1 AS n, round(x0, 3) AS x0, round(x1, 3) AS x1 FROM v WHERE x1 - x0 >= 1
+        UNION ALL SELECT trace_id, task_key, depth, 'run', first(span_id ORDER BY dur_us DESC, span_id), count(*), floor(x0), floor(x0) + 1 FROM v WHERE x1 - x0 < 1 GROUP BY trace_id, task_key, depth, floor(x0)"""),
+    "event_marks_whole": FLAT + """, b AS (SELECT least(0, min(start_us)) AS t0, greatest(max(start_us + dur_us), least(0, min(start_us)) + 1e-3) AS t1 FROM flat)
+        SELECT task_key, floor((start_us - t0) * (96 / (t1 - t0)))::BIGINT AS col, count(*) AS n FROM flat CROSS JOIN b GROUP BY ALL""",
 }

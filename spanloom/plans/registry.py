@@ -154,6 +154,12 @@ def reconstructed_clock(s, d):
     return p.select("trace_id", "task_key", r4("start_us").alias("start_us"), r4(F.col("start_us") + F.col("dur_us")).alias("end_us"))
 
 
+@query
+def reconstructed_clock_whole(s, d):
+    """Calls of every depth."""
+    return parsed(s, d).spans.select("trace_id", "task_key", "depth", "func", r4("start_us").alias("start_us"), r4(F.col("start_us") + F.col("dur_us")).alias("end_us"))
+
+
 @query
 def trace_meta(s, d):
     m = parsed(s, d).meta
@@ -597,6 +603,14 @@ def raw_lines(s, d):
     return r.select("trace_id", "span_id", "line_no", "value", "mark", "left_out")
 
 
+@query
+def raw_lines_whole(s, d):
+    """Lines of every call, as many of each as the operator gives."""
+    p = parsed(s, d).spans
+    r = search.raw_lines(p, text(s, d), p.select("trace_id", "span_id"))
+    return r.select("trace_id", "span_id", "line_no", "value", "mark", "left_out")
+
+
 @query
 def event_fields_map(s, d):
     e = A.table(s, d, "events").select("event_id", F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit(" kind="), F.col("event_type"),
@@ -636,12 +650,28 @@ def timeline_tiles(s, d):
     return t.select("trace_id", "task_key", "depth", "kind", "lead_span", "n", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
 
 
+@query
+def timeline_tiles_whole(s, d):
+    """Each trace over its own range."""
+    t = tree(s, d).join(timeline.bounds(tree(s, d), tree_meta(s, d)), "trace_id")
+    t = timeline.timeline_tiles(t, F.col("t0_us"), F.col("t1_us"), 200)
+    return t.select("trace_id", "task_key", "depth", "kind", "lead_span", "n", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
+
+
 @query
 def event_marks(s, d):
     e = flat(s, d).withColumnRenamed("start_us", "ts_us")
     return timeline.event_marks(e, 0.0, 86400000000.0, 96).select("task_key", F.col("col").cast("bigint").alias("col"), "n")
 
 
+@query
+def event_marks_whole(s, d):
+    """Events over the whole range of their trace."""
+    f = flat(s, d)
+    e = f.join(timeline.bounds(f, A.meta_of(f)), "trace_id").withColumnRenamed("start_us", "ts_us")
+    return timeline.event_marks(e, F.col("t0_us"), F.col("t1_us"), 96).select("task_key", F.col("col").cast("bigint").alias("col"), "n")
+
+
 @query
 def outlier_pins(s, d):
     t = spiky_times(s, d)
@@ -658,8 +688,7 @@ def violations(s, d):
 @query
 def violations_found(s, d):
     t = tree(s, d).withColumn("depth", F.when(F.col("span_id") % 1000 == 5, 7).otherwise(F.col("depth")))
-    v = quality.violations(t).where(F.col("rule").isin("depth", "root depth"))
-    return v.select("trace_id", "span_id", "rule")
+    return quality.violations(t).select("trace_id", "span_id", "rule")
 
 
 @query
