@@ -32,11 +32,17 @@ SAMPLE_PAGES = 300
 LAYOUTS = 800
 HIDDEN, PATH_DIM, WORD_DIM, SHAPE_DIM = 16, 192, 64, 6
 EPOCHS, BATCH, RATE = 6, 16, 0.01
+#: elements of a formula
+MATH = frozenset("annotation annotation-xml math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+#: elements that stand for something other than text, and cells of a formula: words beside them stay apart
+APART = frozenset("br canvas img mtd mtr object svg".split())
 #: elements that flow inside a block
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = MATH | APART | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is not shown as text of the page
-HIDDEN_TAGS = ("script", "style", "noscript", "template", "head", "textarea", "select", "option", "iframe", "object", "svg", "math", "canvas", "title")
+HIDDEN_TAGS = ("script", "style", "noscript", "template", "head", "textarea", "select", "option", "iframe", "object", "svg", "annotation", "annotation-xml", "canvas", "title")
+#: those of them whose content is no markup: unclosed, they reach to the end of the page
+RAW_TEXT = frozenset("script style textarea iframe title".split())
 #: elements that one of the same kind closes
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
@@ -73,9 +79,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if tag in APART:
             text.append(" ")
-            continue
         block = tag not in INLINE
         if block:
             flush()
@@ -85,11 +90,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     del stack[i:]
                     break
             continue
-        if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or attrs.endswith("/") and (tag in ("svg", "path") or tag in MATH):
             continue
         if tag in HIDDEN_TAGS:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else (at if tag in ("head", "option", "select") else n)
+            at = stop.end() if stop else (n if tag in RAW_TEXT else at)
             continue
         if tag in SELF_CLOSING:
             for i in range(len(stack) - 1, -1, -1):

@@ -252,6 +252,19 @@ def test_pages(spark):
     assert pages.pages_query(df.limit(0)).count() == 0
 
 
+def test_formulas_images_and_unclosed_elements():
+    texts = lambda page: [t for _, t, _ in pages.blocks(page)]
+    assert texts("<p>Let <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='tex'>x=1</annotation></math> be</p>") == ["Let x=1 be"]
+    assert texts("<p>a<math><mspace width='1'/><mi>b</mi></math>c</p><p>d</p>") == ["abc", "d"]
+    for inner in ("<img src='x'>", "<svg><text>no</text></svg>", "<svg/>", "<canvas>no</canvas>", "<object data='x'>no</object>"):
+        assert texts(f"<p>One {inner} two</p><p>three</p>") == ["One two", "three"], inner
+        assert texts(f"<p>One{inner}two</p>") == ["One two"], inner
+    for tag in ("object", "canvas", "math", "template", "noscript", "svg"):
+        assert " ".join(texts(f"<p>One</p><p><{tag}>two</p><p>three</p>")) == "One two three", tag
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert texts(f"<p>One</p><{tag}>two<p>three</p>") == ["One"], tag
+
+
 def test_labeller_gradient():
     rng = np.random.default_rng(0)
     m = pages.Labeller()
