@@ -196,3 +196,27 @@ def row_share(st: DataFrame) -> DataFrame:
     p = st.select("trace_id", F.col("span_id").alias("parent_id"), F.col("dur_us").alias("_pd"))
     j = st.join(p, ["trace_id", "parent_id"])
     return j.where(F.col("_pd") > 0).select("trace_id", "span_id", F.least(F.lit(1.0), F.col("dur_us") / F.col("_pd")).alias("share"))
+
+
+def fold_share(st: DataFrame, tracks: DataFrame, members: DataFrame) -> DataFrame:
+    """Shares of rows in folds: (list, fold_id, kind, row, pos, span_id, share).
+
+    A fold (row ``fold``) is measured against its parent's time, or its track's length in a list of roots; a place of a loop's unit
+    (``position``) against the loop's total; a member (``member``) against the slowest of its group or place. ``members``: of ``folds``.
+    """
+    t = F.coalesce("dur_us", F.lit(0.0))
+    p = st.select("trace_id", F.col("span_id").alias("list_id"), "task_key", F.col("dur_us").alias("_whole")).unionByName(
+        tracks.select("trace_id", F.lit(-1).cast("bigint").alias("list_id"), "task_key", (F.col("t1_us") - F.col("t0_us")).alias("_whole")))
+    key = [*LIST, "fold_id", "kind"]
+    place = F.when(F.col("kind") == "loop", F.col("pos")).otherwise(-1)
+    m = members.withColumns({"pos": place, "dur_us": t})
+    by_pos = m.groupBy(*key, "pos").agg(F.sum("dur_us").alias("total"), F.max("dur_us").alias("_most"))
+    by_fold = by_pos.groupBy(*key).agg(F.sum("total").alias("total"))
+    no_id = F.lit(None).cast("bigint").alias("span_id")
+    out = lambda df, row, pos, span, part, whole: df.where(F.col(whole) > 0).select(
+        *key, F.lit(row).alias("row"), pos, span, F.least(F.lit(1.0), F.col(part) / F.col(whole)).alias("share"))
+    no_pos = F.lit(None).cast("int").alias("pos")
+    placed = F.when(F.col("pos") >= 0, F.col("pos")).alias("pos")
+    return (out(by_fold.join(p, LIST), "fold", no_pos, no_id, "total", "_whole")
+            .unionByName(out(by_pos.where("pos >= 0").join(by_fold.withColumnRenamed("total", "_whole"), key), "position", placed, no_id, "total", "_whole"))
+            .unionByName(out(m.join(by_pos.drop("total"), [*key, "pos"]), "member", placed, "span_id", "dur_us", "_most")))

@@ -142,3 +142,29 @@ def fold_sizes(names):
     for kind, fold, *_ in story.scan(names):
         out[fold] = (kind, out.get(fold, (kind, 0))[1] + 1)
     return [out[f] for f in sorted(out)]
+
+
+def test_report_holds_every_table(case, spark, tmp_path):
+    t, a, _ = case
+    spanloom.write_report(t, a, str(tmp_path / "report"))
+    for name, df in {"blame": a.blame, "surprise": a.surprise, "story": spanloom.story_children(t, a)}.items():
+        got = spark.read.parquet(str(tmp_path / "report" / name))
+        assert set(got.columns) == set(df.columns) and got.count() == df.count() > 0
+
+
+def test_fold_shares(spark):
+    durs = {"a": [1.0, 2.0, 4.0], "x": [3.0, 6.0, 3.0], "y": [1.0, 1.0, 2.0]}
+    calls = [("a", d) for d in durs["a"]] + [("b", 5.0)] + [c for x, y in zip(durs["x"], durs["y"]) for c in (("x", x), ("y", y))]
+    at, rows_ = 0.0, [("t", 0, None, "1", "top", 0.0, 40.0, 0)]
+    for i, (f, d) in enumerate(calls):
+        rows_.append(("t", i + 1, 0, "1", f, at, d, i))
+        at += d
+    st = spark.createDataFrame(rows_, "trace_id string, span_id bigint, parent_id bigint, task_key string, func string, start_us double, dur_us double, ord bigint")
+    tracks = spark.createDataFrame([("t", "1", 0.0, 50.0)], "trace_id string, task_key string, t0_us double, t1_us double")
+    got = {}
+    for r in story.fold_share(st, tracks, story.folds(story.runs(story.siblings(st)))).collect():
+        got.setdefault((r.kind, r.row), []).append(r.share)
+    assert got[("group", "fold")] == [7 / 40] and got[("loop", "fold")] == [16 / 40]
+    assert sorted(got[("group", "member")]) == [0.25, 0.5, 1.0]
+    assert sorted(got[("loop", "position")]) == [4 / 16, 12 / 16]
+    assert sorted(got[("loop", "member")]) == [0.5, 0.5, 0.5, 0.5, 1.0, 1.0]
