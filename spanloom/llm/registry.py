@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, mixing, neardup_text, neardup_vectors, pages, passages, shards, substrings
+from . import (chat, decontaminate, importance, language, mixing, neardup_text, neardup_vectors, pages, passages, shards, substrings,
+               whitening)
 from .base import table
 
 
@@ -25,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": over("documents", language.language_query),
     "op9_substring_words": over("documents", passages.passages_query),
     "op10_mixing": over("documents", mixing.mixing_query),
+    "op11_whitening": over("embeddings", whitening.whitening_query),
+    "op12_importance": lambda spark, sf_dir: importance.importance_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op9_substring_words": passages.ORACLE,
+    "op12_importance": importance.ORACLE,
 }
