@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (chat, decontaminate, importance, language, mixing, neardup_text, neardup_vectors, pages, passages, shards, substrings,
-               whitening)
+               token_files, whitening)
 from .base import table
 
 
+def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through token files, with the tokenizer file of the installed package."""
+    import public_tokenizers
+
+    return token_files.token_files_query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def over(name: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(table(spark, sf_dir, name))
 
@@ -28,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": over("documents", mixing.mixing_query),
     "op11_whitening": over("embeddings", whitening.whitening_query),
     "op12_importance": lambda spark, sf_dir: importance.importance_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_token_files": token_files_query,
 }
 
 ORACLES: dict[str, str] = {
