@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BITS = 20
-LANES = 512
+LANES = 2048
 STEPS = 128
 BLOCK_IDS = 4 * LANES * STEPS
 LOW = 1 << 31
@@ -53,7 +53,8 @@ class Table:
     @property
     def symbol(self) -> np.ndarray:
         if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            small = np.uint16 if len(self.freq) <= 1 << 16 else np.uint32
+            self._symbol = np.repeat(np.arange(len(self.freq), dtype=small), self.freq.astype(np.int64))
         return self._symbol
 
 
@@ -83,7 +84,7 @@ def encode(ids: np.ndarray, t: Table, lanes: int = LANES, steps: int = STEPS) ->
     freq, start = t.freq[ids], t.start[ids]
     if len(ids) and not freq.all():
         raise ValueError("an id without frequency")
-    bound = freq << np.uint64(63 - BITS)
+    bound, rest = freq << np.uint64(63 - BITS), np.uint64(1 << BITS) - freq
     x = np.full(lanes, LOW, np.uint64)
     n_steps = -(-len(ids) // lanes)
     states = np.zeros((-(-n_steps // steps), lanes), np.uint64)
@@ -91,14 +92,15 @@ def encode(ids: np.ndarray, t: Table, lanes: int = LANES, steps: int = STEPS) ->
     for k in range(n_steps - 1, -1, -1):
         a, b = k * lanes, min((k + 1) * lanes, len(ids))
         live = x[:b - a]
-        full = live >= bound[a:b]
-        if full.any():
+        full = np.flatnonzero(live >= bound[a:b])
+        if len(full):
             out = live[full]
             words.append(out.astype(np.uint32))
             sizes[k + 1] = len(out)
             live[full] = out >> np.uint64(32)
-        q, r = np.divmod(live, freq[a:b])
-        live[:] = (q << np.uint64(BITS)) + r + start[a:b]
+        # (x // f) * 2**20 + x % f + c
+        live += (live // freq[a:b]) * rest[a:b]
+        live += start[a:b]
         if k % steps == 0:
             states[k // steps] = x
     before = np.cumsum(sizes)[:-1][::steps].astype(np.uint32) if n_steps else np.zeros(0, np.uint32)
@@ -108,27 +110,32 @@ def encode(ids: np.ndarray, t: Table, lanes: int = LANES, steps: int = STEPS) ->
 def decode(states: np.ndarray, before: np.ndarray, words: np.ndarray, n: int, t: Table, steps: int = STEPS) -> np.ndarray:
     """The first ``n`` ids from the given checkpoints on, which are decoded side by side (all but the last are full)."""
     many, lanes = states.shape
-    out = np.zeros((many, steps * lanes), np.uint32)
-    x, at = states.copy(), before.astype(np.int64)
+    symbol, freq, start = t.symbol, t.freq.astype(np.int64), t.start.astype(np.int64)
+    out = np.zeros((many, steps * lanes), symbol.dtype)
+    # states stay below 2**63
+    x, at, words = states.astype(np.int64), before.astype(np.int64), words.astype(np.int64)
     last = n - (many - 1) * steps * lanes
-    mask, symbol = np.uint64((1 << BITS) - 1), t.symbol
-    words = np.concatenate((words, np.zeros(1, np.uint32)))
+    edges = np.arange(many + 1) * lanes
     for k in range(steps):
         rows = many if k * lanes < last else many - 1
         if rows == 0:
             break
-        live = x[:rows]
-        slot = live & mask
-        s = symbol[slot]
-        out[:rows, k * lanes:(k + 1) * lanes] = s
-        live = t.freq[s] * (live >> np.uint64(BITS)) + slot - t.start[s]
-        need = live < LOW
+        live = x[:rows].ravel()
+        slot = live & ((1 << BITS) - 1)
+        s = symbol.take(slot)
+        out[:rows, k * lanes:(k + 1) * lanes] = s.reshape(rows, lanes)
+        live >>= BITS
+        live *= freq.take(s)
+        live += slot
+        live -= start.take(s)
+        need = np.flatnonzero(live < LOW)
         if rows == many and (k + 1) * lanes > last:  # lanes beyond the last id rest
-            need[-1, last - k * lanes:] = False
-        place = at[:rows, None] + np.cumsum(need, axis=1) - 1
-        live = np.where(need, (live << np.uint64(32)) | words[np.where(need, place, len(words) - 1)], live)
-        at[:rows] += need.sum(axis=1)
-        x[:rows] = live
+            need = need[need < (rows - 1) * lanes + last - k * lanes]
+        bound = np.searchsorted(need, edges[:rows + 1])
+        count = np.diff(bound)
+        place = np.arange(len(need)) + np.repeat(at[:rows] - bound[:-1], count)
+        live[need] = (live[need] << 32) | words[place]
+        at[:rows] += count
     return out.ravel()[:n]
 
 

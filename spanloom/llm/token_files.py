@@ -8,8 +8,8 @@ block, and one line feed follows it. They are read as binary files, each checked
 
 The tokenizer comes from a file of the ``tokenizers`` library, read on the driver and sent to the tasks. Where its splitter is the
 byte-level pattern alone, a blank after a character that is no white space always starts a new piece, whatever stands around it; texts
-are then cut there and every different piece of a task is encoded once, which gives the same ids as whole texts. Other
-tokenizers get whole texts.
+are then cut there and every different piece of a task is encoded once, which gives the same ids as whole texts. Pieces of a word
+and marks are put together from these, and words go to the tokenizer's model directly. Other tokenizers get whole texts.
 
 Null and empty texts have the end id alone. Long texts are one row of ids and may span many blocks. Repeated rows are all kept; rows of
 equal key follow each other by number and hash of their ids, a null key comes first. An empty table gives no file and no rows. Extra columns are
@@ -23,7 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from ..session import scratch_dir
 from . import crc, rans
@@ -38,13 +39,52 @@ from .base import cut
 
 END_ID = 2
 #: blocks in a file, and pieces that a task remembers
-FILE_BLOCKS = 64
+FILE_BLOCKS = 16
 REMEMBER = 1 << 20
 #: text encoded at once
 TEXTS = 2 << 20
-#: blanks that do not start a piece of their own
-_JOINED = re.compile(r"(?<=\s) |^ ")
-_MARK = "\ue000"  # private use; stands for a blank that stays inside its piece
+#: a blank after one of these (or at the start of a text) stays inside its piece; marked by a character for private use
+_SPACE = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_AFTER_SPACE = [c + " " for c in _SPACE]
+_JOINED = re.compile(f"(?<=[{''.join(_SPACE)}]) |^ ")
+_MARK, _HEAD = "\ue000", "\ue001"
+#: pieces encoded in one call
+LEARN = 1024
+#: letters up to here are letters in every version of Unicode; marks that end a word (no apostrophe: it joins what follows)
+_LATIN = "\u0250"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_FENCE = "\x00"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet, by byte: printable bytes of Latin-1 are themselves, the rest follow from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+def is_word(text: str) -> bool:
+    return text.isalpha() and (text.isascii() or max(text) < _LATIN)
+
+
+def parts(piece: str) -> list[str] | None:
+    """The pieces that a piece is certain to be split into: words, marks after them, and single line feeds between lines."""
+    blank, out = "", []
+    if piece.startswith(_HEAD):
+        blank, piece = _HEAD, piece[1:]
+    for i, line in enumerate(piece.split("\n")):
+        word = line.rstrip(_MARKS)
+        if not line or not (is_word(word) or not word):
+            return None
+        if i:
+            out.append(_HEAD + "\n")
+            blank = _HEAD
+        if word:
+            out.append(blank + word)
+            blank = _HEAD
+        if len(word) < len(line):
+            out.append(blank + line[len(word):])
+    return out
 
 
 def cuts_at_blanks(tokenizer: Tokenizer) -> bool:
@@ -55,16 +95,25 @@ def cuts_at_blanks(tokenizer: Tokenizer) -> bool:
 
 
 class Encoder:
-    """Ids of many texts on end."""
+    """Ids of many texts on end; ``special``: strings of special tokens are ordinary text."""
 
-    def __init__(self, model: str, end_id: int):
+    def __init__(self, model: str, end_id: int, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.end_id = Tokenizer.from_str(model), end_id
+        self.tokenizer, self.end_id, self.special = Tokenizer.from_str(model), end_id, special
+        self.tokenizer.encode_special_tokens = special
         self.by_piece = cuts_at_blanks(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the same model on words that are split and spelt already
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(_FENCE)
+        self.letters = byte_letters()
+        vocabulary = self.tokenizer.get_vocab()
+        self.spells = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.spells[list(vocabulary.values())] = list(map(len, vocabulary))
         self.forget()
 
     def forget(self) -> None:
-        #: number of each known piece: number 0 is the end of a text; numbers index ``size`` and, through ``start``, ``flat``
+        #: number of each known piece: number 0 is the end of a text; numbers index ``size`` and ``start``, and these ``flat``
         self.known: dict[str, int] = {}
         self.size, self.flat = np.ones(1, np.int64), np.array([self.end_id], np.uint32)
 
@@ -72,14 +121,63 @@ class Encoder:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
+    def spelt(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single words (letters, with or without a blank before them)."""
+        text = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        got = self.words.encode_batch_fast([_FENCE.join(text[k:k + LEARN]) for k in range(0, len(text), LEARN)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
+        # every id spells some bytes: a word ends where its bytes do
+        ends = np.searchsorted(np.cumsum(self.spells[ids]), np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))) + 1
+        return ids, np.diff(ends, prepend=0)
+
     def learn(self, pieces: list[str]) -> None:
-        ids, size = self.whole([p.replace(_MARK, " ") for p in pieces])
+        """Words go to the model at once; other pieces are put together from their parts, or encoded as they are."""
+        words, other, made, count, used = [], [], [], [], []
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or max(word) < _LATIN):
+                if len(word) == len(p):
+                    words.append(p)
+                else:
+                    made.append(p)
+                    count.append(2)
+                    used += (word, _HEAD + p[len(word):])
+                continue
+            if p[:1] == _HEAD and is_word(p[1:]):
+                words.append(p)
+                continue
+            got = parts(p)
+            if got is None or got == [p]:
+                other.append(p)
+            else:
+                made.append(p)
+                count.append(len(got))
+                used += got
+        new = set(used).difference(self.known, words, other)
+        more = {q for q in new if is_word(q.removeprefix(_HEAD))}
+        self._add([*words, *more], self.spelt)
+        self._add([*other, *(new - more)], self.whole)
+        if made:
+            number = np.fromiter(map(self.known.__getitem__, used), np.int64, len(used))
+            size = self.size[number]
+            self._store(made, self._ids(number, size), np.add.reduceat(size, np.cumsum([0, *count])[:-1]))
+
+    def _add(self, pieces: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        if pieces:
+            self._store(pieces, *encode([(p[1:] if p.startswith(_HEAD) else " " + p).replace(_MARK, " ") for p in pieces]))
+
+    def _store(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.known.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
         self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, ids))
 
+    def _ids(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
+        start = (np.cumsum(self.size) - self.size)[number]
+        after = np.cumsum(size)
+        return self.flat[np.repeat(start - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text), each text closed by the end id."""
-        if not self.by_piece or any(_MARK in t for t in texts):
+        if not self.by_piece or any(_MARK in t or _HEAD in t for t in texts):
             ids, n = self.whole(texts)
             return np.insert(ids, np.cumsum(n), self.end_id), n + 1
         if len(self.known) > REMEMBER:
@@ -88,22 +186,22 @@ class Encoder:
         bound = [0]
         for t in texts:
             if t:
-                head, *rest = _JOINED.sub(_MARK, t).split(" ")
-                pieces.append(head)
-                pieces += [" " + r for r in rest]
+                if t[0] == " " or any(s in t for s in _AFTER_SPACE):
+                    t = _JOINED.sub(_MARK, t)
+                at = len(pieces)
+                pieces += t.split(" ")
+                pieces[at] = _HEAD + pieces[at]
             bound.append(len(pieces))
-        new = set(pieces) - self.known.keys()
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(number < 0).tolist()
         if new:
-            self.learn(sorted(new))
-        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            self.learn(list({pieces[i] for i in new}))
+            number[new] = [self.known[pieces[i]] for i in new]
         closed = np.array(bound[1:], np.int64)
         number = np.insert(number, closed, 0)
         size = self.size[number]
-        start = (np.cumsum(self.size) - self.size)[number]
-        after = np.cumsum(size)
-        ids = self.flat[np.repeat(start - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
-        ends = after[closed + np.arange(len(texts))]
-        return ids, np.diff(ends, prepend=0)
+        ends = np.cumsum(size)[closed + np.arange(len(texts))]
+        return self._ids(number, size), np.diff(ends, prepend=0)
 
 
 def tokenized(docs: DataFrame, key: str, text: str, model: str, end_id: int = END_ID, special: bool = False) -> DataFrame:
@@ -111,8 +209,7 @@ def tokenized(docs: DataFrame, key: str, text: str, model: str, end_id: int = EN
     size = width(model, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, end_id)
-        encoder.tokenizer.encode_special_tokens = special
+        encoder = Encoder(model, end_id, special)
         for b in batches:
             at = 0
             while at < b.num_rows:

@@ -184,7 +184,7 @@ def test_crc_of_joined_parts():
 
 # ---- token files ---------------------------------------------------------------
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 65_535, 65_536, 65_537, 200_001])
+@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 262_143, 262_144, 262_145, 800_001])
 def test_codec_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.3, n), 5000).astype(np.uint32)
@@ -192,12 +192,12 @@ def test_codec_round_trip(n):
     data = rans.pack(rans.Block(3, 4, 5, np.zeros((0, rans.DOC_FIELDS), np.int64), ids), t)
     block, end = rans.unpack(data, 0, t)
     assert end == len(data) and (block.shard, block.number, block.first) == (3, 4, 5) and np.array_equal(block.ids, ids)
-    for lo, hi in ((0, 1), (n // 2, n // 2 + 700), (max(0, n - 3), n), (65_530, 65_540)):
+    for lo, hi in ((0, 1), (n // 2, n // 2 + 700), (max(0, n - 3), n), (262_140, 262_150)):
         assert np.array_equal(rans.unpack(data, 0, t, lo, hi)[0].ids, ids[lo:hi])
-    if n > 60_000:
+    if n > 262_000:
         p = np.bincount(ids) / n
         bits = -(p[p > 0] * np.log2(p[p > 0])).sum() * n
-        assert len(data) * 8 < bits * 1.01 + 8 * 512 * 8 * (n / 65_536 + 2)
+        assert len(data) * 8 < bits * 1.01 + 8 * 2048 * 8 * (n / 262_144 + 2)
 
 
 def test_tables():
@@ -238,6 +238,16 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_special_tokens_as_text():
+    plain = Tokenizer.from_file(BPE)
+    plain.encode_special_tokens = True
+    encoder = token_files.Encoder(open(BPE, encoding="utf-8").read(), 2, special=True)
+    texts = ["a b", "x <|endoftext|> y", "<|endoftext|>", "a <|endoftext|>b c"]
+    for t in texts:
+        ids, _ = encoder.encode([t])
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids + [2]
+
+
 def test_other_tokenizers_get_whole_texts():
     words = public_tokenizers.path("word_bpe_49k.json")
     model = open(words, encoding="utf-8").read()
