@@ -27,6 +27,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ END_ID = 2
 FILE_BLOCKS = 16
 REMEMBER = 1 << 20
 #: text encoded at once
-TEXTS = 2 << 20
+TEXTS = 1 << 19
 #: a blank after one of these (or at the start of a text) stays inside its piece; marked by a character for private use
 _SPACE = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _AFTER_SPACE = [c + " " for c in _SPACE]
@@ -94,6 +95,22 @@ def cuts_at_blanks(tokenizer: Tokenizer) -> bool:
             and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in tokenizer.get_added_tokens_decoder().values()))
 
 
+class Grown:
+    """A numpy row that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.row = self._room = np.zeros(0, kind)
+
+    def add(self, more: np.ndarray) -> None:
+        n = len(self.row)
+        if n + len(more) > len(self._room):
+            room = np.zeros(2 * (n + len(more)), self.row.dtype)
+            room[:n] = self.row
+            self._room = room
+        self._room[n:n + len(more)] = more
+        self.row = self._room[:n + len(more)]
+
+
 class Encoder:
     """Ids of many texts on end; ``special``: strings of special tokens are ordinary text."""
 
@@ -115,7 +132,13 @@ class Encoder:
     def forget(self) -> None:
         #: number of each known piece: number 0 is the end of a text; numbers index ``size`` and ``start``, and these ``flat``
         self.known: dict[str, int] = {}
-        self.size, self.flat = np.ones(1, np.int64), np.array([self.end_id], np.uint32)
+        self.size, self.start, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+        self._append(np.array([self.end_id], np.uint32), np.ones(1, np.int64))
+
+    def _append(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.start.add(len(self.flat.row) + np.cumsum(size) - size)
+        self.size.add(size)
+        self.flat.add(ids)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,7 +146,8 @@ class Encoder:
 
     def spelt(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of single words (letters, with or without a blank before them)."""
-        text = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        blank = self.letters[0x20]
+        text = [w.replace(" ", blank) if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
         got = self.words.encode_batch_fast([_FENCE.join(text[k:k + LEARN]) for k in range(0, len(text), LEARN)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
         # every id spells some bytes: a word ends where its bytes do
@@ -159,7 +183,7 @@ class Encoder:
         self._add([*other, *(new - more)], self.whole)
         if made:
             number = np.fromiter(map(self.known.__getitem__, used), np.int64, len(used))
-            size = self.size[number]
+            size = self.size.row[number]
             self._store(made, self._ids(number, size), np.add.reduceat(size, np.cumsum([0, *count])[:-1]))
 
     def _add(self, pieces: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
@@ -167,13 +191,13 @@ class Encoder:
             self._store(pieces, *encode([(p[1:] if p.startswith(_HEAD) else " " + p).replace(_MARK, " ") for p in pieces]))
 
     def _store(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
-        self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, ids))
+        n = len(self.size.row)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self._append(ids, size)
 
     def _ids(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
-        start = (np.cumsum(self.size) - self.size)[number]
         after = np.cumsum(size)
-        return self.flat[np.repeat(start - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+        return self.flat.row[np.repeat(self.start.row[number] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text), each text closed by the end id."""
@@ -199,17 +223,31 @@ class Encoder:
             number[new] = [self.known[pieces[i]] for i in new]
         closed = np.array(bound[1:], np.int64)
         number = np.insert(number, closed, 0)
-        size = self.size[number]
+        size = self.size.row[number]
         ends = np.cumsum(size)[closed + np.arange(len(texts))]
         return self._ids(number, size), np.diff(ends, prepend=0)
 
 
+def encoder_of(model: str, end_id: int, special: bool) -> Encoder:
+    """The encoder of this worker process: its tables, and the pieces it knows, serve later tasks too."""
+    kept = tokenizers.__dict__.setdefault("_kept_by_token_files", {})
+    key = (zlib.crc32(model.encode()), len(model), end_id, special)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(model, end_id, special)
+    return kept[key]
+
+
 def tokenized(docs: DataFrame, key: str, text: str, model: str, end_id: int = END_ID, special: bool = False) -> DataFrame:
-    """(key, n, ids): ids as bytes, little-endian, of 2 or 4 bytes each (see ``width``)."""
+    """(key, n, ids): ids as bytes, little-endian, of 2 or 4 bytes each (see ``width``).
+
+    The last row of a task has n = -1 and, as bytes, how often the task met each id.
+    """
     size = width(model, end_id)
+    symbols = max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, end_id, special)
+        encoder, met = encoder_of(model, end_id, special), np.zeros(symbols, np.int64)
         for b in batches:
             at = 0
             while at < b.num_rows:
@@ -218,10 +256,12 @@ def tokenized(docs: DataFrame, key: str, text: str, model: str, end_id: int = EN
                     texts.append(b.column(1)[at + len(texts)].as_py() or "")
                     held += len(texts[-1])
                 ids, n = encoder.encode(texts)
+                met += np.bincount(ids, minlength=symbols)
                 off = np.concatenate(([0], np.cumsum(n))) * size
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{size}"))])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(n), raw.cast(pa.binary())], names=["key", "n", "ids"])
                 at += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1]), pa.array([met.astype("<i8").tobytes()])], names=["key", "n", "ids"])
 
     return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key bigint, n bigint, ids binary")
 
@@ -237,17 +277,18 @@ def numbers(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, (off - off[0]) // size
 
 
-def id_counts(rows: DataFrame, symbols: int, size: int) -> np.ndarray:
-    """How often each id occurs; a task sends at most one number per id."""
+def id_counts(rows: DataFrame, symbols: int) -> np.ndarray:
+    """How often each id occurs, from the last rows of the tasks (see ``tokenized``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(symbols, np.int64)
         for b in batches:
-            total += np.bincount(numbers(b.column(0), size)[0], minlength=symbols)
+            for row in b.column(0):
+                total += np.frombuffer(row.as_buffer(), "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    got = rows.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.where("n < 0").select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(symbols, np.int64)
     out[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -301,10 +342,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         model = f.read()
     size = width(model, end_id)
     rows = cut(tokenized(docs, key, text, model, end_id, special))
-    table = rans.table(id_counts(rows, max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1), size))
+    table = rans.table(id_counts(rows, max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1)))
     docs.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(table.freq)], "id int, freq bigint").coalesce(1).write.parquet(f"{folder}/table")
     # a text record is written as the bytes it is; the line feed after it is skipped on reading
-    (blocks(rows, table, size).select(F.col("block").cast("string").alias("value"))
+    (blocks(rows.where("n >= 0"), table, size).select(F.col("block").cast("string").alias("value"))
      .write.option("maxRecordsPerFile", FILE_BLOCKS).text(f"{folder}/blocks"))
 
 
