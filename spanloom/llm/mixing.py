@@ -99,8 +99,9 @@ def balance(cells: DataFrame, wanted: dict[str, DataFrame], steps: int = STEPS,
 
 
 def identity(key: str, source: str, text: str) -> Column:
-    """One number per (key, source, text); rows that share it are repeats and are treated alike."""
-    return F.xxhash64(F.col(key).cast("string"), F.col(source).cast("string"), F.col(text).cast("string"))
+    """One number per (key, source, text); rows that share it are repeats and are treated alike. A hash skips nulls, so they are told by flags."""
+    parts = [F.col(c).cast("string") for c in (key, source, text)]
+    return F.xxhash64(*[p.isNull() for p in parts], *parts)
 
 
 def item_copies(rows: DataFrame, cap: float = CAP) -> DataFrame:
@@ -131,7 +132,14 @@ def item_copies(rows: DataFrame, cap: float = CAP) -> DataFrame:
     out = cut(out.select("item", "source", "w", "source_size", "target", "rate", F.least(whole + extra, F.lit(int(cap))).cast("bigint").alias("copies")))
     for _ in range(MENDS):
         out = mend(out, cap)
-    return out.drop("source", "w")
+    return out.drop("w")
+
+
+def with_copies(rows: DataFrame, item: str, source: str, got: DataFrame) -> DataFrame:
+    """Every row with the figures of its item; an item is told by its number and its source, so no row meets two."""
+    it, of = fresh(rows, "it", "of")
+    got = got.withColumnsRenamed({"item": it, "source": of})
+    return rows.join(got, (F.col(item) == F.col(it)) & F.col(source).cast("string").eqNullSafe(F.col(of))).drop(it, of)
 
 
 def mend(items: DataFrame, cap: float) -> DataFrame:
@@ -149,11 +157,10 @@ def mend(items: DataFrame, cap: float) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP) -> DataFrame:
     """Add size, source_size, target, rate, copies and taken to all rows (0 to ``cap`` copies; the same on every run)."""
     docs = docs.drop(*[c for c in ("size", "source_size", "target", "rate", "copies", "taken") if c not in (key, text, source)])
-    item, it = fresh(docs, "item", "it")
+    [item] = fresh(docs, "item")
     rows = with_size(docs.withColumn(item, identity(key, source, text)), text)
     narrow = cut(rows.select(F.col(item).alias("item"), F.col(source).cast("string").alias("source"), "size"))
-    got = item_copies(narrow, cap).withColumnRenamed("item", it)
-    return rows.join(got, F.col(item) == F.col(it)).drop(item, it).withColumn("taken", F.col("copies") * F.col("size"))
+    return with_copies(rows, item, source, item_copies(narrow, cap)).drop(item).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
@@ -161,7 +168,7 @@ def mixing_query(docs: DataFrame) -> DataFrame:
     rows = with_size(docs.select("doc_id", F.col("source").cast("string").alias("source"), identity("doc_id", "source", "text").alias("item"), "text"))
     rows = cut(rows.select("doc_id", "source", "item", "size"))
     got = item_copies(rows.select("item", "source", "size"))
-    return rows.join(got, "item").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return with_copies(rows, "item", "source", got).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

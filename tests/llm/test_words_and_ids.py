@@ -202,3 +202,22 @@ def test_chat_parts(spark):
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "a.png", 256), ("audio", "b.wav", 26), ("document", "c.pdf", 1024)]
     assert all(r.formatted[a.position:].startswith(f"<|{a.kind}|>") for a in r.attachments) and r.attachment_tokens == 1306
     assert [r.formatted[s.start:s.start + s.length] for s in r.loss_spans] == ["", "<|document|>ok"]
+
+
+def test_mix_makes_no_rows(spark):
+    """Nulls that swap places between id, source and text are different rows; repeats stay as many as they are."""
+    rows = [(1, "a b c", "web"), (1, "web", None), (1, None, "web"), (2, "q r s t", "web"), (2, "q r s t", "news")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mixing_query(df).collect()
+    assert sorted((r.doc_id, r["size"], r.source_size) for r in got) == [(1, 0, 7), (1, 1, 1), (1, 3, 7), (2, 4, 4), (2, 4, 7)]
+    values = {"doc_id": [None, 1, 2], "text": [None, "", "1", "web", "a b"], "source": [None, "", "1", "web"]}
+    every = [(i, t, s) for i in values["doc_id"] for t in values["text"] for s in values["source"]]
+    many = spark.createDataFrame([*every, *every, *rows], "doc_id bigint, text string, source string").withColumn("it", F.lit(1)).withColumn("of", F.lit(2))
+    mixed = mixing.mix(many)
+    assert mixed.count() == 2 * len(every) + len(rows)
+    per = {}
+    for r in mixed.collect():
+        per.setdefault((r.doc_id, r.text, r.source), set()).add((r["size"], r.copies, r.target, r.source_size))
+    assert all(len(v) == 1 for v in per.values()) and len(per) == len({*every, *rows})
+    total = {s: sum(len((t or "").split()) for _, t, q in [*every, *every, *rows] if q == s) for s in [*values["source"], "news"]}
+    assert all(r.source_size == total[r.source] for r in mixed.collect())
