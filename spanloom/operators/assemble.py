@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..session import cut
 from .ordered import line_chunk, running, union_all
+from .waits import mixed_traces, placed, stretches
 
 # --- fixed values: interrupt names the parser marks --------------------------
 IRQ_NAMES = [
@@ -268,8 +269,8 @@ def _extent(s: DataFrame) -> DataFrame:
         s = cut(s.join(ready, ["trace_id", "span_id"], "left").withColumn("ext", F.coalesce("ext", "_e")).drop("_e"))
 
 
-def lay_out(s: DataFrame) -> DataFrame:
-    """Per span: ``base`` and ``delta`` so that start = base + sum of delta along the path."""
+def lay_out(s: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per span: ``base`` and ``delta`` so that start = base + sum of delta along the path. ``lines``: the call lines with CPU and task."""
     s = _stretch(s)
     s = s.withColumns({"chunk": line_chunk("span_id"), "_pp": F.coalesce("parent_id", F.lit(S.NO_PARENT)),
                        "_lane": F.when(F.col("parent_id").isNull(), F.coalesce("cpu", F.lit(-1))).otherwise(F.lit(-2))})
@@ -279,7 +280,7 @@ def lay_out(s: DataFrame) -> DataFrame:
     if not absolute.isEmpty():
         parts.append(_fit(_orphan_starts(absolute)))
     if not printed.isEmpty():
-        parts.append(_reconstruct(printed))
+        parts += _reconstruct(printed, lines.where(F.col("at_us").isNull()).select("trace_id", "line_no", "cpu0", "task_key"))
     return union_all(parts) if parts else s.withColumns({"base": F.lit(0.0), "delta": F.lit(0.0)})
 
 
@@ -326,9 +327,33 @@ def _fit(s: DataFrame) -> DataFrame:
     return k.withColumn("delta", pos - F.col("base")).drop("_s", "_d", "_w", "_pre", "_lead", "_m", "_all", "_stop")
 
 
-def _reconstruct(s: DataFrame) -> DataFrame:
-    """No stamps: siblings follow each other, roots follow each other on their CPU."""
+def _reconstruct(s: DataFrame, lines: DataFrame) -> list[DataFrame]:
+    """No stamps: time adds up along CPUs; where tasks move between CPUs or take turns, they also wait for each other."""
     s = _extent(s)
+    mixed = mixed_traces(lines)
+    if mixed.isEmpty():
+        return [_in_order(s)]
+    s = cut(s)
+    traces, lines, across = stretches(lines.join(mixed, "trace_id", "left_semi"), s.join(mixed, "trace_id", "left_semi"))
+    if traces.isEmpty():
+        return [_in_order(s)]
+    return [_in_order(s.join(traces, "trace_id", "left_anti")), _with_waits(s.join(traces, "trace_id", "left_semi"), lines, across)]
+
+
+def _with_waits(s: DataFrame, lines: DataFrame, across: DataFrame) -> DataFrame:
+    """Calls inside a stretch follow each other from the start of their parent; the others start when their CPU and task are
+    free, and slide to fit into what their parent printed."""
+    s = cut(placed(s, lines, across))
+    inner = s.where(F.col("abs").isNull())
+    inner = running(inner, ["trace_id", "_pp"], "chunk", ["span_id"], [("delta", "sum", "ext")])
+    outer = _fit(s.where(F.col("abs").isNotNull()).withColumn("base", F.col("abs")))
+    up = s.select("trace_id", F.col("span_id").alias("_pp"), F.col("abs").alias("_up"))
+    outer = outer.join(up, ["trace_id", "_pp"], "left").withColumn("delta", F.col("delta") + F.col("abs") - F.coalesce("_up", F.lit(0.0)))
+    return inner.unionByName(outer.drop("_up", "base")).drop("abs", "ext").withColumn("base", F.lit(0.0))
+
+
+def _in_order(s: DataFrame) -> DataFrame:
+    """Siblings follow each other, roots follow each other on their CPU."""
     s = running(s, ["trace_id", "_pp", "_lane"], "chunk", ["span_id"], [("_at", "sum", "ext"), ("_prior", "prev", "span_id")])
     orphan = F.col("shape") == "orphan"
     # the first thing a task shows may have begun before the trace: it keeps its printed duration
@@ -369,7 +394,7 @@ def assemble(tokens: DataFrame) -> Trace:
     calls = enclosing(match_calls(rows.where(F.col("kind").isin("open", "leaf", "close"))))
     inner = cut(_innermost(rows.where(F.col("kind").isin("fn", "event", "lost")), calls))
     flat = rows.where(F.col("kind") == "fn").join(inner, ["trace_id", "line_no"])
-    s = cut(paths(cut(lay_out(adopt_runs(make_spans(calls, flat))))))
+    s = cut(paths(cut(lay_out(adopt_runs(make_spans(calls, flat)), rows.where(F.col("kind").isin("open", "leaf", "close"))))))
 
     # calls open when events were lost on their CPU: those around the innermost one
     lost = rows.where(F.col("kind") == "lost").join(inner, ["trace_id", "line_no"])

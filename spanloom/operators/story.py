@@ -11,6 +11,9 @@ from .ordered import median_picks, order_stats, running
 
 MIN_RUN = 3
 UNIT_LENGTHS = range(2, 9)
+STRAYS = 2
+#: places between calls of one function that follow each other in a fold, at most
+REACH = UNIT_LENGTHS[-1] + STRAYS
 
 LIST = ["trace_id", "list_id", "task_key"]
 
@@ -52,20 +55,37 @@ def run_folds(r: DataFrame) -> DataFrame:
     return g.join(med, key, "left")
 
 
+def pieces(r: DataFrame) -> DataFrame:
+    """From ``runs``: the calls a fold could hold or step over, with the ``piece`` of the list they are scanned in.
+
+    Inside a fold, calls of one function are at most ``REACH`` places apart. A call that is not one of three such calls in a row
+    belongs to no fold, and folds step over two of these at most: where three follow each other no fold can cross,
+    and the scan of the whole list would stand there. Pieces are what lies between; they share no fold.
+    """
+    s = r.where(F.col("list_len") >= MIN_RUN).select(*LIST, "func", "chunk", "ord", "idx")
+    s = cut(running(s, [*LIST, "func"], "chunk", ["ord"], [("_p", "prev", "idx"), ("_n", "next", "idx")]))
+    near = lambda c: F.coalesce(F.abs(F.col("idx") - F.col(c)) <= REACH, F.lit(False)).cast("int")
+    s = cut(s.withColumns({"_p": near("_p"), "_n": near("_n")}))
+    s = running(s, [*LIST, "func"], "chunk", ["ord"], [("_pp", "prev", "_p"), ("_nn", "next", "_n")])
+    often = (F.col("_p") + F.col("_n") == 2) | (F.col("_p") + F.coalesce("_pp", F.lit(0)) == 2) | (F.col("_n") + F.coalesce("_nn", F.lit(0)) == 2)
+    s = cut(s.withColumn("_at", F.when(often, F.col("idx"))).drop("_p", "_n", "_pp", "_nn"))
+    s = running(s, LIST, "chunk", ["ord"], [("_last", "maxb", "_at")])
+    first = F.col("_at").isNotNull() & (F.col("_last").isNull() | (F.col("idx") - F.col("_last") > STRAYS + 1))
+    s = cut(s.where(F.col("_at").isNotNull() | (F.col("idx") - F.col("_last") <= STRAYS)).withColumn("_first", F.when(first, F.col("idx"))))
+    return running(s, LIST, "chunk", ["ord"], [("piece", "max", "_first")]).drop("_at", "_last", "_first", "chunk")
+
+
 def folds(r: DataFrame) -> DataFrame:
     """From ``runs``: members of every fold of a sibling list, each call in one fold at most.
 
-    One scan from the left, the same for lists of any length: at each call a run of three or more equal functions is
+    One scan from the left: at each call a run of three or more equal functions is
     a fold of kind ``group`` (unit_len 1); otherwise the unit of 2 to 8 calls that repeats at least three times with most
     members is one of kind ``loop``, where one or two stray calls between repetitions are stepped over and stay single. What follows a
-    choice depends on where it ends, so a list is read in one task, as a stream of narrow rows; lists in which no function occurs
-    three times are left out before.
+    choice depends on where it ends, so ``pieces`` are scanned one by one, as function names alone; their members join the calls by place.
     """
-    s = r.where(F.col("list_len") >= MIN_RUN)
-    often = s.groupBy(*LIST, "func").count().where(F.col("count") >= MIN_RUN).select(*LIST).distinct()
-    return s.join(often, LIST, "left_semi").groupBy(*LIST).applyInPandas(
-        _fold_list, "trace_id string, list_id bigint, task_key string, kind string, fold_id bigint, unit_len int, reps int, pos int, rep int, "
-                    "span_id bigint, func string, dur_us double, start_us double, ord bigint")
+    found = pieces(r).groupBy(*LIST, "piece").applyInPandas(
+        _fold_piece, "trace_id string, list_id bigint, task_key string, kind string, fold_id bigint, unit_len int, reps int, pos int, rep int, idx bigint")
+    return r.select(*LIST, "idx", "span_id", "func", "dur_us", "start_us", "ord").join(found, [*LIST, "idx"]).select(*_FOLD_COLUMNS)
 
 
 def loop_folds(r: DataFrame) -> DataFrame:
@@ -74,11 +94,10 @@ def loop_folds(r: DataFrame) -> DataFrame:
 
 
 _FOLD_COLUMNS = ["trace_id", "list_id", "task_key", "kind", "fold_id", "unit_len", "reps", "pos", "rep", "span_id", "func", "dur_us", "start_us", "ord"]
-_NO_FOLD = pd.DataFrame({c: pd.Series(dtype=object) for c in _FOLD_COLUMNS})
 
 
-def scan(names: list[str]) -> list[tuple[str, int, int, int, int, int, int]]:
-    """Members of the folds of one list: (kind, fold, unit length, repetitions, place in unit, repetition, place in list)."""
+def scan(names: list[int]) -> list[tuple[str, int, int, int, int, int, int]]:
+    """Members of the folds of a list of functions: (kind, fold, unit length, repetitions, place in unit, repetition, place in list)."""
     n, rows, p = len(names), [], 0
     while p < n:
         q = p
@@ -98,16 +117,15 @@ def scan(names: list[str]) -> list[tuple[str, int, int, int, int, int, int]]:
     return rows
 
 
-def _fold_list(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ord", kind="stable", ignore_index=True)
-    rows = scan(pdf["func"].tolist())
-    if not rows:
-        return _NO_FOLD
-    f = pd.DataFrame(rows, columns=["kind", "fold_id", "unit_len", "reps", "pos", "rep", "at"])
-    return pd.concat([pdf.iloc[f["at"]].reset_index(drop=True), f], axis=1)[_FOLD_COLUMNS]
+def _fold_piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    names = pd.factorize(pdf.sort_values("idx")["func"])[0].tolist()
+    f = pd.DataFrame(scan(names), columns=["kind", "fold_id", "unit_len", "reps", "pos", "rep", "idx"])
+    first = key[-1]
+    return f.assign(trace_id=key[0], list_id=key[1], task_key=key[2], fold_id=f["fold_id"] + first, idx=f["idx"] + first)[
+        ["trace_id", "list_id", "task_key", "kind", "fold_id", "unit_len", "reps", "pos", "rep", "idx"]]
 
 
-def _best_loop(names: list[str], p: int) -> tuple[int, list[int], int] | None:
+def _best_loop(names: list[int], p: int) -> tuple[int, list[int], int] | None:
     """(unit length, start of every repetition, end) of the loop at ``p`` with most members."""
     best = None
     for unit in UNIT_LENGTHS:
@@ -115,7 +133,7 @@ def _best_loop(names: list[str], p: int) -> tuple[int, list[int], int] | None:
             break
         body, starts, q = names[p:p + unit], [p], p + unit
         while True:
-            step = next((k for k in (0, 1, 2) if names[q + k:q + k + unit] == body), None)
+            step = next((k for k in range(STRAYS + 1) if names[q + k:q + k + unit] == body), None)
             if step is None:
                 break
             starts.append(q + step)

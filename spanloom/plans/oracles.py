@@ -110,6 +110,22 @@ ORACLES: dict[str, str] = {
     "parse_bracket_roundtrip": TEXT + """ SELECT event_id AS line_no, event_type AS func, 'caller_' || (user_id % 4) AS caller, u::DOUBLE AS start_us,
         user_id % 4 AS cpu, 'user' AS comm, user_id + 1 AS pid FROM e""",
     "reconstructed_clock": _tree("SELECT trace_id, task_key, round(start_us, 4) AS start_us, round(start_us + dur_us, 4) AS end_us FROM tree WHERE depth = 0"),
+    "migrated_calls": "WITH RECURSIVE " + ITEMS + """,
+        r AS (SELECT 'c' || ckey AS trace_id, okey, place, what, func, dur_us, (okey + place // 2) % 2 AS cpu,
+          row_number() OVER (PARTITION BY ckey ORDER BY place, okey) - 1 AS i FROM (
+          SELECT okey, ord AS place, 'leaf' AS what, func, dur_us FROM items
+          UNION ALL SELECT okey, n_items + 1, 'open', 'wait_reply', NULL FROM ords UNION ALL SELECT okey, n_items + 3, 'close', 'wait_reply', 40.0 FROM ords) JOIN (SELECT okey, ckey FROM ords) USING (okey)),
+        w AS (SELECT trace_id, -1::BIGINT AS i, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, MAP {}::MAP(BIGINT, DOUBLE) AS floors, MAP {}::MAP(BIGINT, DOUBLE) AS entered,
+            NULL::BIGINT AS okey, NULL::VARCHAR AS what, NULL::DOUBLE AS t, NULL::DOUBLE AS e FROM r GROUP BY 1
+          UNION ALL
+          SELECT trace_id, i, CASE WHEN cpu = 0 THEN greatest(c0, e) ELSE c0 END, CASE WHEN cpu = 1 THEN greatest(c1, e) ELSE c1 END, map_concat(floors, MAP {okey: e}),
+            CASE WHEN what = 'open' THEN map_concat(entered, MAP {okey: t}) ELSE entered END, okey, what, t, e
+          FROM (SELECT *, CASE what WHEN 'leaf' THEN t + dur_us WHEN 'open' THEN t ELSE entered[okey] + dur_us END AS e FROM (
+            SELECT w.trace_id, r.i, c0, c1, floors, entered, r.okey, r.what, r.cpu, r.dur_us::DOUBLE AS dur_us,
+              greatest(CASE WHEN r.cpu = 0 THEN c0 ELSE c1 END, coalesce(floors[r.okey], 0)) AS t FROM w JOIN r ON r.trace_id = w.trace_id AND r.i = w.i + 1)))
+        SELECT w.trace_id, (w.okey + 1)::VARCHAR AS task_key, r.cpu, func, w.i AS line_no, CASE WHEN w.what = 'open' THEN 0 ELSE flags END AS flags, round(t, 4) AS start_us,
+          round(CASE WHEN w.what = 'open' THEN t + 40 ELSE e END, 4) AS end_us
+        FROM w JOIN (SELECT r.*, CASE WHEN func LIKE 'sysvec%' THEN 9 ELSE 1 END AS flags FROM r) r ON r.trace_id = w.trace_id AND r.i = w.i WHERE w.what <> 'close'""",
     "trace_meta": _tree("""SELECT t.trace_id, 'function_graph' AS format, 'reconstructed' AS clock, l.lines, count(*) AS spans, 0 AS orphans, 0 AS unclosed, 0 AS unparsed,
         max(start_us + dur_us) AS duration_us, true AS proc, 1 AS warnings FROM tree t JOIN (SELECT 'n' || nkey AS trace_id, sum(n_lines) AS lines FROM cust GROUP BY 1) l USING (trace_id) GROUP BY ALL"""),
     "parse_quarantine": "SELECT 'events' AS trace_id, event_id AS line_no, 'damaged ' || event_id || ' line' AS text FROM events WHERE event_id % 50 = 3",

@@ -160,6 +160,13 @@ def reconstructed_clock_whole(s, d):
     return parsed(s, d).spans.select("trace_id", "task_key", "depth", "func", r4("start_us").alias("start_us"), r4(F.col("start_us") + F.col("dur_us")).alias("end_us"))
 
 
+@query
+def migrated_calls(s, d):
+    """Tasks that wander between two CPUs, without stamps: calls wait for their CPU and for their task."""
+    p = assemble(tokenize(A.moved_text(s, d))).spans
+    return p.select("trace_id", "task_key", "cpu", "func", "line_no", "flags", r4("start_us").alias("start_us"), r4(F.col("start_us") + F.col("dur_us")).alias("end_us"))
+
+
 @query
 def trace_meta(s, d):
     m = parsed(s, d).meta

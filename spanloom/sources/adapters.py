@@ -6,6 +6,7 @@ flat    events as leaf calls without nesting (one trace)
 spiky   flat with a regular duration and rare slow calls
 sw      context switches: the next user on a CPU replaces the previous one
 text    tree rendered as call-graph lines, bracket lines from flat
+moved   orders as tasks that wander between two CPUs, one trace per customer, without stamps
 
 Every ordered step uses the two-level ``running`` helper, so one customer, order
 or CPU holding a large share of the rows is still split into chunks.
@@ -209,3 +210,27 @@ def bracket_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("task_key").cast("bigint") + 1, "cpu",
                         F.floor(F.col("start_us") / 1e6).cast("bigint"),
                         (F.col("start_us").cast("bigint") % 1000000), "func", "cpu").alias("value"))
+
+
+#: what a moved task prints of its last call: it is entered on one CPU and closes on another
+REPLY_US = 40.0
+
+
+def moved_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks of their customer's trace, line by line in turns: every item is a call of its quantity, on the CPU that order and
+    place give; a call that waits for a reply is entered after them and closes two places later. (trace_id, line_no, value)"""
+    item = _items(spark, sf_dir).select("o_orderkey", F.col("ord").alias("place"), F.lit("leaf").alias("what"), "func", "dur_us")
+    reply = _orders(spark, sf_dir).select("o_orderkey", F.explode(F.array(
+        F.struct((F.col("n_items") + 1).alias("place"), F.lit("open").alias("what"), F.lit(None).cast("double").alias("dur_us")),
+        F.struct((F.col("n_items") + 3).alias("place"), F.lit("close").alias("what"), F.lit(REPLY_US).alias("dur_us")))).alias("r")).select(
+        "o_orderkey", "r.place", "r.what", F.lit("wait_reply").alias("func"), "r.dur_us")
+    rows = item.unionByName(reply).join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), "o_orderkey").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("trace_id"), "*")
+    rows = cut(rows.withColumns({"one": F.lit(1).cast("bigint"), "chunk": F.shiftleft("place", 40) + F.shiftright("o_orderkey", 16)}))
+    rows = running(rows, ["trace_id"], "chunk", ["place", "o_orderkey"], [("line_no", "sum", "one")])
+    cpu = F.pmod(F.col("o_orderkey") + F.floor(F.col("place") / 2), F.lit(2)).cast("string")
+    took = F.when(F.col("what") == "open", F.lit(" " * 14)).otherwise(F.format_string("%10.3f us ", F.col("dur_us")))
+    body = (F.when(F.col("what") == "leaf", F.concat("func", F.lit("();"))).when(F.col("what") == "open", F.concat("func", F.lit("() {")))
+            .otherwise(F.concat(F.lit("} /* "), "func", F.lit(" */"))))
+    value = F.concat(F.lit(" "), cpu, F.lit(")  order-"), (F.col("o_orderkey") + 1).cast("string"), F.lit("  | "), took, F.lit("  |  "), body)
+    return rows.select("trace_id", "line_no", value.alias("value"))

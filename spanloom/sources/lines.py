@@ -102,11 +102,19 @@ def _join_cr(pieces: list[bytes]) -> list[bytes]:
     return out + ([open_piece] if open_piece else [])
 
 
-def stream_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+#: number of a rotated file: the last number before its extension (``run.0007.txt``, ``run.7``)
+ROTATION = r"\.(\d+)(?=(?:\.[A-Za-z]\w*)?$)"
+
+
+def stream_lines(spark: SparkSession, path: str, max_files: int = 1000, rotation: str = ROTATION) -> DataFrame:
     """Streaming lines of a directory that receives files of trace output.
 
-    Lines carry their file (trace_id) and block; ``live`` counts positions after reading columns.
+    Files whose paths differ only in their number are one trace (``trace_id``), in the order of ``rotation``; a file without
+    number (-1) is a trace of its own. Files end at line ends. ``live`` counts positions after reading columns.
     """
+    file = F.col("_metadata.file_path")
     return (spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files).text(path)
-            .select(F.sha2(F.col("_metadata.file_path"), 224).substr(1, 16).alias("trace_id"),
-                    F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value")))
+            .select(F.sha2(F.regexp_replace(file, rotation, ""), 224).substr(1, 16).alias("trace_id"),
+                    F.coalesce(F.regexp_extract(file, rotation, 1).try_cast("bigint"), F.lit(-1)).alias("rotation"),
+                    F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"),
+                    (F.octet_length("value") + 1).cast("bigint").alias("octets"), F.regexp_replace("value", "\r$", "").alias("value")))
