@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import cut
+from .contract import tree_values
 from .ordered import line_chunk, running, union_all
 from .waits import mixed_traces, placed, stretches
 
@@ -242,31 +243,34 @@ def adopt_runs(spans: DataFrame) -> DataFrame:
 
 def _stretch(s: DataFrame) -> DataFrame:
     """A call whose children add up to more than its printed duration covers their sum."""
-    while True:
-        sums = (s.where(F.col("parent_id").isNotNull() & (F.col("shape") != "orphan"))
-                .groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("dur_us").alias("_load")))
-        long = cut(s.where(F.col("shape").isin("call", "leaf") & F.col("dur_us").isNotNull())
-                   .join(sums, ["trace_id", "span_id"]).where(F.col("_load") > F.col("dur_us") + 1e-9)
-                   .select("trace_id", "span_id", "_load"))
-        if long.isEmpty():
-            return s
-        s = cut(s.join(long, ["trace_id", "span_id"], "left")
-                .withColumn("dur_us", F.coalesce("_load", "dur_us")).drop("_load"))
+    kids = s.where(F.col("parent_id").isNotNull() & (F.col("shape") != "orphan"))
+    sums = kids.groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("dur_us").alias("_load"))
+    timed = F.col("shape").isin("call", "leaf") & F.col("dur_us").isNotNull()
+    if s.where(timed).join(sums, ["trace_id", "span_id"]).where(F.col("_load") > F.col("dur_us") + 1e-9).isEmpty():
+        return s
+    # calls with a duration give their sum upwards, others what they have
+    n = s.where(timed).select("trace_id", F.col("span_id").alias("node"), "parent_id", F.col("dur_us").alias("least"))
+    fixed = kids.where(~timed).groupBy("trace_id", F.col("parent_id").alias("node")).agg(F.sum("dur_us").alias("own"))
+    up = n.select("trace_id", F.col("node").alias("parent_id"), F.col("node").alias("parent"))
+    n = n.join(fixed, ["trace_id", "node"], "left").join(up, ["trace_id", "parent_id"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    v = tree_values(cut(n.select("trace_id", "node", "parent", "least", "own"))).select("trace_id", F.col("node").alias("span_id"), "value")
+    long = F.col("value") > F.col("dur_us") + 1e-9
+    return cut(s.join(v, ["trace_id", "span_id"], "left").withColumn("dur_us", F.when(long, F.col("value")).otherwise(F.col("dur_us"))).drop("value"))
 
 
 def _extent(s: DataFrame) -> DataFrame:
     """Time a call takes up in a reconstructed clock: its duration, or what its timed children take."""
     s = s.withColumn("ext", F.when(F.col("shape") != "orphan", F.col("dur_us")))
-    while True:
-        gap = s.where(F.col("ext").isNull()).select("trace_id", "span_id")
-        # the deepest calls without an extent: none of their children lacks one
-        kids = s.where(F.col("parent_id").isNotNull()).groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(
-            F.sum("ext").alias("_e"), F.count_if(F.col("ext").isNull()).alias("_open"))
-        ready = cut(gap.join(kids, ["trace_id", "span_id"], "left").where(F.coalesce("_open", F.lit(0)) == 0)
-                    .select("trace_id", "span_id", F.coalesce("_e", F.lit(0.0)).alias("_e")))
-        if ready.isEmpty():
-            return s
-        s = cut(s.join(ready, ["trace_id", "span_id"], "left").withColumn("ext", F.coalesce("ext", "_e")).drop("_e"))
+    gap = s.where(F.col("ext").isNull())
+    if gap.isEmpty():
+        return s
+    n = gap.select("trace_id", F.col("span_id").alias("node"), "parent_id")
+    up = n.select("trace_id", F.col("node").alias("parent_id"), F.col("node").alias("parent"))
+    timed = s.where(F.col("ext").isNotNull() & F.col("parent_id").isNotNull()).groupBy("trace_id", F.col("parent_id").alias("node")).agg(F.sum("ext").alias("own"))
+    n = n.join(timed, ["trace_id", "node"], "left").join(up, ["trace_id", "parent_id"], "left")
+    v = tree_values(cut(n.select("trace_id", "node", "parent", F.lit(None).cast("double").alias("least"), F.coalesce("own", F.lit(0.0)).alias("own"))))
+    return cut(s.join(v.select("trace_id", F.col("node").alias("span_id"), "value"), ["trace_id", "span_id"], "left")
+               .withColumn("ext", F.coalesce("ext", "value")).drop("value"))
 
 
 def lay_out(s: DataFrame, lines: DataFrame) -> DataFrame:

@@ -104,6 +104,11 @@ def _tree(select: str) -> str:
     return TREE + select
 
 
+def _tree_once(select: str) -> str:
+    """``_tree`` for SQL that names ``tree`` twice."""
+    return TREE.replace("tree AS (", "tree AS MATERIALIZED (", 1) + select
+
+
 ORACLES: dict[str, str] = {
     "parse_graph_roundtrip": _tree("""SELECT trace_id, func, round(start_us, 4) AS start_us, round(dur_us, 4) AS dur_us, depth, task_key, cpu, flags,
         CASE depth WHEN 1 THEN f0 WHEN 2 THEN f1 END AS parent_func FROM tree"""),
@@ -226,7 +231,7 @@ ORACLES: dict[str, str] = {
         max(CASE WHEN i = n // 2 THEN dur_us END) AS median_us, max(dur_us) AS max_us
         FROM (SELECT *, row_number() OVER (PARTITION BY task_key, run_id ORDER BY dur_us) - 1 AS i FROM rr WHERE n >= 3) GROUP BY task_key, run_id, func, n""",
     "fold_outliers": RUNS + "SELECT span_id, task_key, func FROM rr WHERE n >= 3 AND span_id IN (" + SPIKY + "SELECT span_id FROM so)",
-    "row_share": _tree("SELECT c.trace_id, c.span_id, round(least(1.0, c.dur_us / p.dur_us), 6) AS share FROM tree c JOIN tree p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id"),
+    "row_share": _tree_once("SELECT c.trace_id, c.span_id, round(least(1.0, c.dur_us / p.dur_us), 6) AS share FROM tree c JOIN tree p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id"),
     "search_calls": _tree("SELECT trace_id, span_id, func FROM tree WHERE contains(lower(func), 'urgent')"),
     "search_regex": _tree("SELECT trace_id, count(DISTINCT func) AS functions, count(*) AS calls FROM tree WHERE regexp_matches(func, '^item_.F$', 'i') GROUP BY 1"),
     "span_end": _tree(""", x AS (SELECT *, CASE WHEN span_id % 10 <> 3 THEN dur_us END AS d2 FROM tree)
@@ -282,7 +287,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT c.trace_id, c.span_id, 'depth' FROM b c JOIN b p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id WHERE c.d2 <> p.d2 + 1"""),
     "slow_calls": OUT + "SELECT trace_id, func, round(dur_us, 4) AS dur_us, round(p50, 4) AS typical_us, round(dur_us - p50, 4) AS excess_us, round(dur_us / p50, 3) AS ratio FROM outl",
     "reconstructed_clock_whole": _tree("SELECT trace_id, task_key, depth, func, round(start_us, 4) AS start_us, round(start_us + dur_us, 4) AS end_us FROM tree"),
-    "raw_lines_whole": _tree(""", c AS (SELECT 'n' || nkey AS trace_id, ckey, ' ' || (nkey % 4) || ')  cust-' || (ckey + 1) || '  |' AS head, func, dur_us, n_lines, line_no AS l FROM cust),
+    "raw_lines_whole": _tree_once(""", c AS (SELECT 'n' || nkey AS trace_id, ckey, ' ' || (nkey % 4) || ')  cust-' || (ckey + 1) || '  |' AS head, func, dur_us, n_lines, line_no AS l FROM cust),
         o AS (SELECT trace_id, ckey, okey, head, o.func, o.dur_us, o.n_lines, l + 1 + rel_line AS l FROM ords o JOIN c USING (ckey)),
         k AS (SELECT trace_id, ckey, head, func, dur_us, n_lines, l, '' AS pad FROM c UNION ALL SELECT trace_id, ckey, head, func, dur_us, n_lines, l, '  ' FROM o
           UNION ALL SELECT trace_id, ckey, head, i.func, i.dur_us, 1, l + i.ord, '    ' FROM o JOIN items i USING (okey)),

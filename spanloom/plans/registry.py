@@ -500,6 +500,14 @@ def row_share(s, d):
 
 # ---- search and filters -------------------------------------------------------------------------
 
+@query
+def fold_shares(s, d):
+    """Shares of folds, of places in a loop and of single members."""
+    t = tree_times(s, d)
+    m = stage(s, d, "tree_folds", lambda: cut(story.folds(tree_runs(s, d))))
+    return story.fold_share(t, make_tracks(t), m).select("trace_id", "list_id", "kind", "fold_id", "row", "pos", "span_id", F.round("share", 6).alias("share"))
+
+
 @query
 def search_calls(s, d):
     return search.matching_calls(tree(s, d), "URGENT").select("trace_id", "span_id", "func")

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 import spanloom
 from spanloom.operators import stats, story
+from spanloom.session import cut
 from tests.synthetic import Builder, mystery
 
 
 @pytest.fixture(scope="module")
 def case(spark):
-    from spanloom.session import cut
-
     b, reads = mystery()
     t = b.trace_tables(spark)
     t.spans, t.switches = cut(t.spans), cut(t.switches)
@@ -144,6 +143,29 @@ def fold_sizes(names):
     return [out[f] for f in sorted(out)]
 
 
+def test_pieces_give_the_folds_of_the_whole_list(spark):
+    """Lists with stretches that no fold can cross, functions that come back far away, and loops with stray calls."""
+    rng = random.Random(11)
+    lists = []
+    for _ in range(60):
+        names = []
+        for _ in range(rng.randint(0, 14)):
+            unit = [rng.choice("abcdefg") for _ in range(rng.randint(1, 8))]
+            for _ in range(rng.randint(1, 5)):
+                names += unit + [rng.choice("abxyz") for _ in range(rng.choice([0, 0, 0, 1, 2, 3]))]
+            names += [f"once{rng.randrange(40)}" for _ in range(rng.randint(0, 6))]
+        lists.append(names)
+    rows_ = [("t", 1000 * n + i, n, "k", f, float(i), 1.0, 1000 * n + i) for n, names in enumerate(lists) for i, f in enumerate(names)]
+    st = spark.createDataFrame(rows_, "trace_id string, span_id bigint, parent_id bigint, task_key string, func string, start_us double, dur_us double, ord bigint")
+    r = cut(story.runs(story.siblings(st)))
+    got = {}
+    for m in story.folds(r).collect():
+        got.setdefault(m.list_id, []).append((m.kind, m.fold_id, m.unit_len, m.reps, m.pos, m.rep, m.span_id - 1000 * m.list_id))
+    for n, names in enumerate(lists):
+        assert sorted(got.get(n, [])) == sorted(story.scan(names)), names
+    assert story.pieces(r).select("list_id", "piece").distinct().count() > 2 * len(lists)
+
+
 def test_report_holds_every_table(case, spark, tmp_path):
     t, a, _ = case
     spanloom.write_report(t, a, str(tmp_path / "report"))
