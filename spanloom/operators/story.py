@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +86,8 @@ def folds(r: DataFrame) -> DataFrame:
     members is one of kind ``loop``, where one or two stray calls between repetitions are stepped over and stay single. What follows a
     choice depends on where it ends, so ``pieces`` are scanned one by one, as function names alone; their members join the calls by place.
     """
-    found = pieces(r).groupBy(*LIST, "piece").applyInPandas(
-        _fold_piece, "trace_id string, list_id bigint, task_key string, kind string, fold_id bigint, unit_len int, reps int, pos int, rep int, idx bigint")
+    p = pieces(r).select(*LIST, "piece", "idx", "func").repartition(*LIST, "piece").sortWithinPartitions(*LIST, "piece", "idx")
+    found = p.mapInArrow(_fold_pieces, "trace_id string, list_id bigint, task_key string, kind string, fold_id bigint, unit_len int, reps int, pos int, rep int, idx bigint")
     return r.select(*LIST, "idx", "span_id", "func", "dur_us", "start_us", "ord").join(found, [*LIST, "idx"]).select(*_FOLD_COLUMNS)
 
 
@@ -93,6 +96,10 @@ def loop_folds(r: DataFrame) -> DataFrame:
     return folds(r).where(F.col("kind") == "loop").drop("kind")
 
 
+#: members of a batch that a scan gives
+_MEMBERS = 1 << 14
+_FOUND = {"trace_id": pa.string(), "list_id": pa.int64(), "task_key": pa.string(), "kind": pa.string(), "fold_id": pa.int64(), "unit_len": pa.int32(),
+          "reps": pa.int32(), "pos": pa.int32(), "rep": pa.int32(), "idx": pa.int64()}
 _FOLD_COLUMNS = ["trace_id", "list_id", "task_key", "kind", "fold_id", "unit_len", "reps", "pos", "rep", "span_id", "func", "dur_us", "start_us", "ord"]
 
 
@@ -117,12 +124,56 @@ def scan(names: list[int]) -> list[tuple[str, int, int, int, int, int, int]]:
     return rows
 
 
-def _fold_piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    names = pd.factorize(pdf.sort_values("idx")["func"])[0].tolist()
-    f = pd.DataFrame(scan(names), columns=["kind", "fold_id", "unit_len", "reps", "pos", "rep", "idx"])
-    first = key[-1]
-    return f.assign(trace_id=key[0], list_id=key[1], task_key=key[2], fold_id=f["fold_id"] + first, idx=f["idx"] + first)[
-        ["trace_id", "list_id", "task_key", "kind", "fold_id", "unit_len", "reps", "pos", "rep", "idx"]]
+def _sorted_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[int]]]:
+    """(key, functions as numbers) of every piece; a piece may go on over several batches."""
+    key, names, number = None, [], {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c) for c in (*LIST, "piece")]
+        # where a row differs from the row before in any key column, a piece begins
+        new = np.zeros(b.num_rows, dtype=bool)
+        for c in cols:
+            codes = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        keys = list(zip(*[c.take(pa.array(starts)).to_pylist() for c in cols]))
+        words = b.column("func").dictionary_encode()
+        codes = [number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()]
+        funcs = [-1 if i is None else codes[i] for i in words.indices.to_pylist()]
+        for k, lo, hi in zip(keys, starts, [*starts[1:], b.num_rows]):
+            if k != key:
+                if names:
+                    yield key, names
+                key, names = k, []
+            names += funcs[lo:hi]
+    if names:
+        yield key, names
+
+
+def _fold_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds of the pieces of a partition, which come one after the other; a task holds one piece and a batch of members."""
+    out = [[] for _ in _FOUND]
+
+    def flush():
+        full = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, _FOUND.values())], names=list(_FOUND))
+        for c in out:
+            c.clear()
+        return full
+
+    for (trace, lst, task, first), names in _sorted_pieces(batches):
+        found = scan(names)
+        for lo in range(0, len(found), _MEMBERS):
+            part = found[lo:lo + _MEMBERS]
+            for c, v in zip(out, (trace, lst, task)):
+                c += [v] * len(part)
+            kind, fold, unit, reps, pos, rep, idx = zip(*part)
+            for c, v in zip(out[3:], (kind, [f + first for f in fold], unit, reps, pos, rep, [i + first for i in idx])):
+                c += v
+            if len(out[0]) >= _MEMBERS:
+                yield flush()
+    if out[0]:
+        yield flush()
 
 
 def _best_loop(names: list[int], p: int) -> tuple[int, list[int], int] | None:
