@@ -19,27 +19,28 @@ def violations(spans: DataFrame, chunk_bits: int = 16) -> DataFrame:
     p = s.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_has"), F.col("start_us").alias("_ps"), F.col("_end").alias("_pe"),
                  F.col("depth").alias("_pd"), F.col("task_key").alias("_pt"), F.col("path").alias("_pp"))
     c = s.where(F.col("parent_id").isNotNull()).join(p, ["trace_id", "parent_id"], "left")
-    bad = lambda df, cond, rule: df.where(cond).select("trace_id", "span_id", F.lit(rule).alias("rule"))
     w = s.withColumns({"_l": F.coalesce("parent_id", F.lit(-1)), "chunk": F.shiftright("ord", chunk_bits),
                        "_e2": F.coalesce("_end", "start_us")})
     w = running(w, ["trace_id", "_l", "task_key"], "chunk", ["ord"], [("_prev_end", "prev", "_e2"), ("_prev_start", "prev", "start_us")])
     twice = s.groupBy("trace_id", "span_id").agg(F.count(F.lit(1)).alias("_n"))
-    rules = [
-        bad(c, F.col("_has").isNull(), "parent missing"),
-        bad(c, F.col("depth") != F.col("_pd") + 1, "depth"),
-        bad(s.where(F.col("parent_id").isNull()), F.col("depth") != 0, "root depth"),
-        bad(c, F.col("task_key") != F.col("_pt"), "task differs from parent"),
-        bad(c, ~F.slice("path", 1, F.size("path") - 1).eqNullSafe(F.col("_pp")), "path"),
-        bad(c, F.col("start_us") < F.col("_ps") - EPS, "starts before parent"),
-        bad(c, F.col("_end") > F.col("_pe") + EPS, "ends after parent"),
-        bad(w, F.col("start_us") < F.col("_prev_end") - EPS, "overlaps sibling"),
-        bad(w, F.col("start_us") < F.col("_prev_start"), "siblings out of order"),
-        bad(s, F.col("start_us").isNull(), "no start"),
-        bad(twice, F.col("_n") > 1, "id twice"),
-    ]
+    # every table is read once, whatever the number of its rules
+    bad = lambda df, rules: df.select("trace_id", "span_id", F.explode(F.array_compact(F.array(*[F.when(c, rule) for c, rule in rules]))).alias("rule"))
+    own = [(F.col("parent_id").isNull() & (F.col("depth") != 0), "root depth"), (F.col("start_us").isNull(), "no start")]
     if "byte_start" in spans.columns:
-        rules.append(bad(s, F.col("byte_end") <= F.col("byte_start"), "empty byte range"))
-    return union_all(rules)
+        own.append((F.col("byte_end") <= F.col("byte_start"), "empty byte range"))
+    return union_all([
+        bad(c, [
+            (F.col("_has").isNull(), "parent missing"),
+            (F.col("depth") != F.col("_pd") + 1, "depth"),
+            (F.col("task_key") != F.col("_pt"), "task differs from parent"),
+            (~F.slice("path", 1, F.size("path") - 1).eqNullSafe(F.col("_pp")), "path"),
+            (F.col("start_us") < F.col("_ps") - EPS, "starts before parent"),
+            (F.col("_end") > F.col("_pe") + EPS, "ends after parent")]),
+        bad(w, [
+            (F.col("start_us") < F.col("_prev_end") - EPS, "overlaps sibling"),
+            (F.col("start_us") < F.col("_prev_start"), "siblings out of order")]),
+        bad(s, own),
+        bad(twice, [(F.col("_n") > 1, "id twice")])])
 
 
 def raw_name_violations(spans: DataFrame, lines: DataFrame) -> DataFrame:
