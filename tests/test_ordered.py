@@ -36,3 +36,22 @@ def test_value_chunks_are_bounded_by_rows(spark, far):
     got = with_value_chunk(df, ["k"], "t", rows=1000).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("z")).orderBy("chunk").collect()
     assert max(r.n for r in got) <= 2001 and len(got) >= 10
     assert all(x.z < y.a for x, y in zip(got, got[1:]))
+
+
+def test_keys_in_one_chunk_meet_no_summary(spark):
+    """Many small keys: the rows are not joined with a summary as long as the list of keys."""
+    df = spark.range(5000).select((F.col("id") / 2).cast("bigint").alias("key"), F.shiftright("id", 16).alias("chunk"), F.col("id").alias("pos"))
+    r = running(df, ["key"], "chunk", ["pos"], [("sum", "sum", "pos"), ("all", "total", "pos"), ("before", "prev", "pos"), ("after", "next", "pos")])
+    rows = r.collect()
+    assert len(rows) == 5000 and all(
+        (x.sum, x.all, x.before, x.after) == ((x.pos - 1, 2 * x.pos - 1, x.pos - 1, None) if x.pos % 2 else (0, 2 * x.pos + 1, None, x.pos + 1)) for x in rows)
+    assert "Join" not in r._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_keys_of_one_and_of_several_chunks(spark):
+    rows = [("k", i // 7, i, i % 4) for i in range(60)] + [("one", 3, i, 1) for i in range(21, 25)] + [(None, 0, 0, 5)]
+    got = running(spark.createDataFrame(rows, "key string, chunk bigint, pos bigint, v bigint"), ["key"], "chunk", ["pos"], [
+        ("sum", "sum", "v"), ("top", "max", "v"), ("all", "total", "v")]).collect()
+    for r in got:
+        mine = [(p, v) for k, _, p, v in rows if k == r.key]
+        assert (r.sum, r.top, r.all) == (sum(v for p, v in mine if p < r.pos), max(v for p, v in mine if p <= r.pos), sum(v for _, v in mine) if r.key else None)
