@@ -37,6 +37,8 @@ TABLES = 16
 SIMILARITY = 0.8
 #: documents of a component that a visitor is compared with at once
 BLOCK = 256
+#: bits of the hash by which texts are told apart from those nothing asks for
+PASS_BITS = 25
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,19 +159,56 @@ def verify(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose first column, a long, is among those of ``wanted``, and a few others: a bit of a table of 4 MB for each hash of a wanted one.
+
+    The table has that size whatever there is to ask for; where it is full, more rows pass.
+    """
+    blocks = 1 << PASS_BITS - 15
+    slot = lambda ids: mix64(ids.view(np.uint64)) >> np.uint64(64 - PASS_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(slot(b.column(0).drop_null().to_numpy()))
+            block, first = np.unique(at >> np.uint64(15), return_index=True)
+            for k, part in zip(block.tolist(), np.split(at & np.uint64(32767), first[1:])):
+                bits = np.zeros(32768, np.uint8)
+                bits[part.astype(np.int64)] = 1
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def merge(t: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
+        return pa.table({"block": t.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    kind = "block bigint, bits binary"
+    table = np.zeros((blocks, 4096), np.uint8)
+    for x in wanted.mapInArrow(mark, kind).groupBy("block").applyInArrow(merge, kind).collect():  # 1024 rows of 4 KB at most
+        table[x["block"]] = np.frombuffer(x["bits"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(table.ravel())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = slot(b.column(0).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            yield b.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def sequences_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """(h1, sh): shingle sequence of one document for each wanted (h1, rep)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in pieces(b.column(1)):
                 sh, bounds, h, words = shingles(data, off)
-                h1 = span_hash(prefix_hash(h), words[:-1], words[1:])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(h1.view(np.int64)),
-                                                  pa.array([sh[p:q].tobytes() for p, q in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["rep", "h1", "sh"])
+                h1 = span_hash(prefix_hash(h), words[:-1], words[1:]).view(np.int64)
+                # an id may stand before several texts: the one asked for is kept
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array([sh[p:q].tobytes() for p, q in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["h1", "sh"]).filter(
+                    pa.array(h1 == b.column(2).slice(lo, hi - lo).to_numpy()))
 
-    rows = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("t"))
-    picked = rows.join(wanted.select("rep").distinct().hint("merge"), "rep", "left_semi")
-    return picked.mapInArrow(make, "rep bigint, h1 bigint, sh binary").join(wanted, ["rep", "h1"], "left_semi").dropDuplicates(["h1"]).select("h1", "sh")
+    # texts that nothing asks for stay where they are; the join then leaves out the few others that pass
+    rows = likely(docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("t")), wanted.select("rep"))
+    picked = rows.join(wanted.select("rep", F.col("h1").alias("want")).distinct().hint("merge"), "rep")
+    return picked.select("rep", "t", "want").mapInArrow(make, "h1 bigint, sh binary").dropDuplicates(["h1"])
 
 
 def visit(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
@@ -211,7 +250,8 @@ def visit(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
                         b.append(ids[i])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return guests.unionByName(hosts).join(sequences, "h1").groupBy("c", "g").applyInArrow(meet, "a bigint, b bigint")
+    both = cut(guests.unionByName(hosts))
+    return both.join(likely(sequences, both.select("h1")), "h1").groupBy("c", "g").applyInArrow(meet, "a bigint, b bigint")
 
 
 def shared_shingles(sequences: DataFrame) -> DataFrame:
@@ -266,7 +306,7 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", least: f
     leads = members.select("h1", "t", "s").join(met, "h1").groupBy("t", "s").agg(F.max(F.struct("met", "h1", "n")).alias("m")).select(
         "t", "s", F.col("m.h1").alias("lead"), F.col("m.n").alias("ln"))
     members = cut(members.drop("k").join(leads, ["t", "s"]))
-    wanted = nodes.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "rep")
+    wanted = cut(nodes.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "rep"))
     seqs = cut(sequences_of(docs, key, text, wanted))
     long_enough = lambda p, q: F.least(p, q) >= F.greatest(p, q) * F.lit(least)
     # 1. everyone against the entry's leader
@@ -277,7 +317,7 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", least: f
     now = cut(members.join(label, "h1", "left").withColumn("c", F.coalesce("c", "h1")))
     open_ = now.groupBy("t", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t", "s")
     now = cut(now.join(open_, ["t", "s"]))
-    held = shared_shingles(seqs.join(now.select("h1").distinct(), "h1", "left_semi"))
+    held = shared_shingles(likely(seqs, now.select("h1")).join(now.select("h1").distinct(), "h1", "left_semi"))
     # no more of a document can be aligned than it shares with any other that is still to compare
     now = cut(now.join(held, "h1").where(F.col("held") >= F.col("n") * F.lit(least)))
     links = cut(links.unionByName(visit(now, seqs, least)))

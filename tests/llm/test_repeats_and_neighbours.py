@@ -143,6 +143,23 @@ def near(spark):
     return rows, spark.createDataFrame(rows, ID_TEXT)
 
 
+def test_texts_nothing_asks_for_are_not_shuffled(spark):
+    rows = spark.range(-500, 4500).select(F.when(F.col("id") != 7, F.col("id")).alias("rep"), F.col("id").cast("string").alias("t"))
+    ask = spark.createDataFrame([(i,) for i in [-500, -1, 0, 3, 4499, None, 10 ** 17]], "rep bigint")
+    got = {r.rep for r in neardup_text.likely(rows, ask).collect()}
+    assert {-500, -1, 0, 3, 4499} <= got and len(got) < 20
+    assert neardup_text.likely(rows, ask.limit(0)).count() == 0
+
+
+def test_sequences_of_repeated_ids(spark):
+    """An id with several texts, a text under several ids: one sequence for each text asked for."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "m n"), (None, "m n")], ID_TEXT)
+    sig = {r.id: r.h1 for r in neardup_text.signatures(docs.where("text <> 'g h i j k l' and doc_id is not null"), "doc_id", "text", 2, 2).collect()}
+    ask = spark.createDataFrame([(sig[1], 1), (sig[3], 3)], "h1 bigint, rep bigint")
+    got = {r.h1: len(r.sh) // 8 for r in neardup_text.sequences_of(docs, "doc_id", "text", ask).collect()}
+    assert got == {sig[1]: 2, sig[3]: 1}
+
+
 def test_text_near_dups(spark, near):
     rows, df = near
     seqs = {i: five(t) for i, t in rows if i is not None}
