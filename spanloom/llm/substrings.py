@@ -28,16 +28,18 @@ PLAN = Plan(items="bytes", size=LENGTH, gram=20, within=False)
 def bounded_order(seq: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols at least (0 ends a comparison); symbols below 256."""
     n = len(seq)
-    padded = np.concatenate((seq.astype(np.uint64), np.zeros(8, np.uint64)))
+    bits = max(1, int(seq.max()).bit_length())
+    h = 64 // bits  # symbols of the first key
+    padded = np.concatenate((seq.astype(np.uint64), np.zeros(h, np.uint64)))
     key = np.zeros(n, np.uint64)
     live = np.ones(n, bool)
-    for i in range(8):
-        c = np.where(live, padded[i:i + n], 0)
-        key = (key << np.uint64(8)) | c
+    for i in range(h):
+        c = np.where(live, padded[i:i + n], np.uint64(0))
+        key = (key << np.uint64(bits)) | c
         live &= c > 0
-    h = 8
     gap = np.where(seq == 0, np.arange(n), n)
     ahead = np.minimum.accumulate(gap[::-1])[::-1] - np.arange(n)  # symbols before the next separator
+    times, width = (3, 21) if n < 1 << 21 else (2, 32)  # ranks of neighbouring prefixes that fit into one key
     while True:
         order = np.argsort(key)
         s = key[order]
@@ -45,13 +47,15 @@ def bounded_order(seq: np.ndarray, depth: int) -> np.ndarray:
         np.cumsum(s[1:] != s[:-1], out=new[1:])
         if h >= depth or new[-1] == n - 1:
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        tail = np.zeros(n, np.int64)
-        tail[:n - h] = rank[h:] + 1
-        tail[ahead < h] = 0  # a prefix that met a separator is not compared further
-        key = ((rank.astype(np.uint64) + np.uint64(1)) << np.uint64(32)) | tail.astype(np.uint64)
-        h *= 2
+        rank = np.empty(n, np.uint64)
+        rank[order] = new + 1
+        key = rank
+        for k in range(1, times):
+            tail = np.zeros(n, np.uint64)
+            tail[:max(n - k * h, 0)] = rank[k * h:]
+            tail[ahead < k * h] = 0  # a prefix that met a separator is not compared further
+            key = (key << np.uint64(width)) | tail
+        h *= times
 
 
 def common_prefix_breaks(tree: Wavelet, first: np.ndarray, n: int, n_symbols: int, depth: int) -> np.ndarray:
