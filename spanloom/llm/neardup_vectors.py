@@ -84,9 +84,11 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, cell: int = CELL, most
 
 
 def visits(vectors: DataFrame, centroids: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(cell, own, id, vec): every vector in its own cell, and as a visitor in each cell whose border is in reach."""
+    """(cell, own, id, n, vec): every vector in its own cell, and as a visitor in each cell whose border is in reach. ``vectors``: id, vec, n.
+
+    Tasks are sent the centroids alone; distances between them, their number squared, are worked out where they are needed.
+    """
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    gap = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 1e-300)) if len(centroids) else centroids
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,15 +96,18 @@ def visits(vectors: DataFrame, centroids: np.ndarray, threshold: float = THRESHO
                 part = b.slice(s, 2048)
                 cos = unit_rows(part.column(1)) @ centroids.T
                 own = cos.argmax(axis=1)
-                near = (cos[np.arange(len(own)), own][:, None] - cos) <= gap[own] * reach
+                used, at = np.unique(own, return_inverse=True)
+                gap = np.sqrt(np.maximum(2 - 2 * (centroids[used] @ centroids.T), 1e-300))
+                near = (cos[np.arange(len(own)), own][:, None] - cos) <= gap[at] * reach
                 row, cell = np.nonzero(near)
                 # a pair in two cells meets in the cell with the smaller number only
                 use = cell <= own[row]
                 row, cell = row[use], cell[use]
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own[row] == cell), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))],
-                                                 names=["cell", "own", "id", "vec"])
+                to = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own[row] == cell), part.column(0).take(to), part.column(2).take(to), part.column(1).take(to)],
+                                                 names=["cell", "own", "id", "n", "vec"])
 
-    return vectors.mapInArrow(assign, f"cell bigint, own boolean, id bigint, vec {dict(vectors.dtypes)['vec']}")
+    return vectors.select("id", "vec", "n").mapInArrow(assign, f"cell bigint, own boolean, id bigint, n bigint, vec {dict(vectors.dtypes)['vec']}")
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +131,8 @@ def compare(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     """Block products of (cell, own, id, n, vec): rows (id, n) of link counts and (id, root) of forests."""
     sizes = rows.groupBy("cell").agg(F.ceil(F.sum(F.col("own").cast("int")) / F.lit(block)).cast("int").alias("mo"),
                                      F.ceil(F.sum((~F.col("own")).cast("int")) / F.lit(block)).cast("int").alias("mv"))
-    r = rows.join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("id", F.lit("block")), F.greatest(F.when(F.col("own"), F.col("mo")).otherwise(F.col("mv")), F.lit(1))).cast("int"))
+    # a row per cell, MOST_CELLS at most: it goes to the vectors
+    r = rows.join(F.broadcast(sizes), "cell").withColumn("i", F.pmod(F.xxhash64("id", F.lit("block")), F.greatest(F.when(F.col("own"), F.col("mo")).otherwise(F.col("mv")), F.lit(1))).cast("int"))
     pair = lambda a, b, left, visits: F.struct(a.cast("int").alias("l"), b.cast("int").alias("r"), F.lit(visits).alias("v"), F.lit(left).alias("left"))
     all_of = lambda n, fn: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), fn)
     i = F.col("i")
@@ -176,8 +182,7 @@ def near_dups(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", t
     found = None
     for length, n in sorted((r[0], r[1]) for r in classes.groupBy(F.size("vec")).agg(F.count(F.lit(1))).collect()):
         v = classes.where(F.size("vec") == length).select(F.col("rep").alias("id"), "vec", "n")
-        seen = visits(v.select("id", "vec"), fit(v.select("id", "vec"), n), threshold).join(v.select("id", "n"), "id")
-        part = compare(seen, threshold, block)
+        part = compare(visits(v, fit(v.select("id", "vec"), n), threshold), threshold, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))

@@ -38,6 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_token_files": token_files_query,
 }
 
+#: queries whose narrow tables of ids pack so well that joins go by measured rows alone (``session.JOINS``)
+MEASURED = {"op1_embedding_neardup"}
+
 ORACLES: dict[str, str] = {
     "op1_embedding_neardup": neardup_vectors.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
